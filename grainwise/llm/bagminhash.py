@@ -12,8 +12,10 @@ about one draw a shingle plus a fixed number a document.
 
 Registers are banded; members of a bucket are compared exactly (shingle multisets of the
 texts) with one representative each, then with other buckets' representatives, and what
-still lies in another component than most of its bucket is compared with all members
-of the other components there.  So each pair of different texts that shares a bucket and
+still lies in another component than most of its bucket is a query against all members of
+the other components there: registers are compared in blocks inside the tasks, and texts
+where registers agree so often that the threshold is within ``sure`` standard errors.  So
+no pairs of a bucket are spelled out, and each pair of different texts that shares a bucket and
 reaches the threshold ends in one class, while copies never become pairs: equal texts are
 one node from the start.
 
@@ -45,11 +47,18 @@ class BagMinHash:
     bands: int = 24
     rows: int = 4
     members_per_slice: int = 2000
+    queries_per_slice: int = 500
+    sure: float = 4.5
 
     @property
     def registers(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least_equal(self) -> int:
+        """Registers that agree at least, up to a chance as small as that of missing a pair by the bands."""
+        return int(self.registers * self.threshold - self.sure * (self.registers * self.threshold * (1 - self.threshold)) ** 0.5)
+
 
 def shingles(batch: Batch, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every shingle of a batch."""
@@ -114,7 +123,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_a", pa.int64()), ("text_b", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_a", pa.int64()), ("text_b", pa.int64()), ("buckets", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def _signer(p: BagMinHash):
@@ -127,7 +136,7 @@ def _signer(p: BagMinHash):
             bucket = mix(np.arange(p.bands, dtype=np.uint64) + U64(1)) + np.zeros((batch.n_docs, 1), np.uint64)
             for r in range(p.rows):
                 bucket = mix(bucket ^ bits[:, :, r])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(a), pa.array(b), list_array(bucket[has].view(np.int64).reshape(-1), has * p.bands, pa.int64())], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(a), pa.array(b), list_array(bucket[has].view(np.int64).reshape(-1), has * p.bands, pa.int64()), pa.array([x.tobytes() for x in mix(reg.view(np.uint64)).astype(np.uint8)], pa.binary())], schema=_SIGNED)
 
     return sign
 
@@ -177,6 +186,37 @@ def _verifier(p: BagMinHash):
     return verify
 
 
+def _comparer(p: BagMinHash):
+    """Rows come sorted: the queries of a slice of a bucket (kind 0), then all its members; pairs (a > b) of different labels whose registers often agree."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, marks, held = None, [], [], []
+        for rows in batches:
+            bucket, cut, kind, node, label = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "cut", "kind", "node", "label"))
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, p.registers)
+            edge = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(cut) != 0) | (np.diff(kind) != 0)) + 1
+            found = []
+            for i, j in zip([0, *edge], [*edge, len(node)], strict=True):
+                if (bucket[i], cut[i]) != now:
+                    now, names, marks, held = (bucket[i], cut[i]), [], [], []
+                if kind[i] == 0:
+                    names.append(node[i:j])
+                    marks.append(label[i:j])
+                    held.append(sketch[i:j])
+                elif held:
+                    mine, own, of = np.concatenate(held), np.concatenate(marks), np.concatenate(names)
+                    for at in range(i, j, 256):
+                        to = min(j, at + 256)
+                        equal = (sketch[at:to, None, :] == mine[None]).sum(axis=2)
+                        x, y = np.nonzero((equal >= p.least_equal) & (label[at:to, None] != own[None]))
+                        found.append(np.stack([np.maximum(node[at + x], of[y]), np.minimum(node[at + x], of[y])]))
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+
+    return compare
+
+
 def verified(pairs: DataFrame, texts: DataFrame, p: BagMinHash) -> DataFrame:
     """Of the pairs (a, b) those whose texts reach the threshold, with their similarity.
 
@@ -223,9 +263,10 @@ def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id with the same text), is_kept."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(texts.mapInArrow(_signer(p), "doc_id long, text_a long, text_b long, buckets array<long>"))
+    signed = written(texts.mapInArrow(_signer(p), "doc_id long, text_a long, text_b long, buckets array<long>, sketch binary"))
     same = signed.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("copy_of"))
-    members = written(signed.join(same, ["text_a", "text_b"]).select("doc_id", "copy_of", F.when(F.col("doc_id") == F.col("copy_of"), F.col("buckets")).alias("buckets")))
+    members = written(signed.join(same, ["text_a", "text_b"]).select("doc_id", "copy_of", F.when(F.col("doc_id") == F.col("copy_of"), F.col("buckets")).alias("buckets"), "sketch"))
+    sketches = members.filter("buckets is not null").select(F.col("doc_id").alias("node"), "sketch").dropDuplicates(["node"])
     entries = members.filter("buckets is not null").select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("node"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep < top").select("bucket", "rep")
     buckets = written(entries.join(shared, "bucket").distinct())
@@ -242,14 +283,15 @@ def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
         links = links.union(written(verified(second, texts, p)))
         labels, tried = components(links), tried.union(second)
 
-    # what differs from most of its bucket meets every member of another component there
-    held = written(_joined(buckets.select("bucket", "node"), "node", labels, "label"))
+    # what differs from most of its bucket is held against every member of another component there
+    held = written(_joined(buckets, "node", labels, "label"))
     sizes = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", "main")
-    mixed = held.join(main, "bucket")
-    odd = mixed.filter("label <> main").select("bucket", F.col("node").alias("p"), F.col("label").alias("p_label"))
-    rest = odd.join(mixed.select("bucket", F.col("node").alias("q"), F.col("label").alias("q_label"), "main"), "bucket").filter("p_label <> q_label and (q_label = main or p < q)")
-    third = written(rest.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("n") - F.max("n")).alias("odd")).filter("parts > 1")
+    mixed = held.join(main.select("bucket", "main", F.ceil(F.col("odd") / p.queries_per_slice).cast("int").alias("cuts")), "bucket").join(sketches, "node")
+    query = mixed.filter("label <> main").select("bucket", F.pmod(F.xxhash64("node"), "cuts").cast("int").alias("cut"), F.lit(0).alias("kind"), "node", "label", "sketch")
+    every = mixed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(1).alias("kind"), "node", "label", "sketch")
+    dealt = query.unionByName(every).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "cut").sortWithinPartitions("bucket", "cut", "kind")
+    third = written(dealt.mapInArrow(_comparer(p), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
     if not third.isEmpty():
         links = links.union(written(verified(third, texts, p)))
         labels = components(links)
