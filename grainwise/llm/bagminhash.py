@@ -11,11 +11,12 @@ run only up to the time by which a document's registers are surely full, so the
 about one draw a shingle plus a fixed number a document.
 
 Registers are banded; members of a bucket are compared exactly (shingle multisets of the
-texts) with one representative each, then with other buckets' representatives, and what
-still lies in another component than most of its bucket is a query against all members of
-the other components there: registers are compared in blocks inside the tasks, and texts
-where registers agree so often that the threshold is within ``sure`` standard errors.  So
-no pairs of a bucket are spelled out, and each pair of different texts that shares a bucket and
+texts) with one representative each, then with other buckets' representatives.  Documents
+that are connected through buckets form a family, and what still lies in another component
+than most of its family is a query against all members of the other components there:
+inside the tasks, in blocks, registers are compared first, and texts exactly where
+registers agree so often that the threshold is within ``sure`` standard errors.  So no
+pairs of a bucket are spelled out, and each pair of different texts that shares a bucket and
 reaches the threshold ends in one class, while copies never become pairs: equal texts are
 one node from the start.
 
@@ -49,6 +50,7 @@ class BagMinHash:
     members_per_slice: int = 2000
     queries_per_slice: int = 500
     sure: float = 4.5
+    broadcast_rows: int = 1_000_000
 
     @property
     def registers(self) -> int:
@@ -187,36 +189,41 @@ def _verifier(p: BagMinHash):
 
 
 def _comparer(p: BagMinHash):
-    """Rows come sorted: the queries of a slice of a bucket (kind 0), then all its members; pairs (a > b) of different labels whose registers often agree."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Rows come sorted: the queries of a slice of a family (kind 0), then all its members; links between different labels."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, marks, held = None, [], [], []
-        for rows in batches:
-            bucket, cut, kind, node, label = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "cut", "kind", "node", "label"))
+        now, held = None, []
+        for rows in steps(batches):
+            family, cut, kind, node, label = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("family", "cut", "kind", "node", "label"))
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, p.registers)
-            edge = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(cut) != 0) | (np.diff(kind) != 0)) + 1
+            units = _units(Batch(*text_bytes(rows.column("text"))), p.words)
+            edge = np.flatnonzero((np.diff(family) != 0) | (np.diff(cut) != 0) | (np.diff(kind) != 0)) + 1
             found = []
             for i, j in zip([0, *edge], [*edge, len(node)], strict=True):
-                if (bucket[i], cut[i]) != now:
-                    now, names, marks, held = (bucket[i], cut[i]), [], [], []
+                if (family[i], cut[i]) != now:
+                    now, held = (family[i], cut[i]), []
                 if kind[i] == 0:
-                    names.append(node[i:j])
-                    marks.append(label[i:j])
-                    held.append(sketch[i:j])
+                    held.append((node[i:j], label[i:j], sketch[i:j], units[i:j]))
                 elif held:
-                    mine, own, of = np.concatenate(held), np.concatenate(marks), np.concatenate(names)
+                    names, marks, mine = (np.concatenate([h[k] for h in held]) for k in range(3))
+                    bags = [u for h in held for u in h[3]]
                     for at in range(i, j, 256):
                         to = min(j, at + 256)
                         equal = (sketch[at:to, None, :] == mine[None]).sum(axis=2)
-                        x, y = np.nonzero((equal >= p.least_equal) & (label[at:to, None] != own[None]))
-                        found.append(np.stack([np.maximum(node[at + x], of[y]), np.minimum(node[at + x], of[y])]))
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+                        for x, y in zip(*np.nonzero((equal >= p.least_equal) & (label[at:to, None] != marks[None])), strict=True):
+                            similarity = _similarity(units[at + x], bags[y])
+                            if similarity >= p.threshold:
+                                found.append((max(node[at + x], names[y]), min(node[at + x], names[y]), similarity))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(_EDGES)], schema=_EDGES)
 
     return compare
 
 
+def _small(df: DataFrame, p: BagMinHash) -> DataFrame:
+    """The table marked for broadcast if it has at most ``broadcast_rows`` rows of a few numbers, else for any join."""
+    return F.broadcast(df) if df.count() <= p.broadcast_rows else df
+
+
 def verified(pairs: DataFrame, texts: DataFrame, p: BagMinHash) -> DataFrame:
     """Of the pairs (a, b) those whose texts reach the threshold, with their similarity.
 
@@ -227,9 +234,9 @@ def verified(pairs: DataFrame, texts: DataFrame, p: BagMinHash) -> DataFrame:
     n = texts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / p.members_per_slice).cast("int").alias("cuts"))
     cut = F.pmod(F.xxhash64("a"), F.col("cuts")).cast("int")
-    partners = pairs.join(sizes, "b").select("a", F.col("b").alias("hub"), cut.alias("cut")).join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
-    hubs = sizes.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select(F.lit(None).cast("long").alias("a"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "text")
-    rows = hubs.select("hub", "cut", "a", "text").unionByName(partners)
+    partners = texts.select(F.col("doc_id").alias("a"), "text").join(_small(written(pairs.join(sizes, "b").select("a", F.col("b").alias("hub"), cut.alias("cut"))), p), "a")
+    hubs = texts.select(F.col("doc_id").alias("b"), "text").join(_small(written(sizes), p), "b").select(F.lit(None).cast("long").alias("a"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "text")
+    rows = hubs.select("hub", "cut", "a", "text").unionByName(partners.select("hub", "cut", "a", "text"))
     dealt = rows.repartition(int(n), "hub", "cut").sortWithinPartitions("hub", "cut", F.col("a").asc_nulls_first())
     return dealt.mapInArrow(_verifier(p), "a long, b long, similarity double").distinct()
 
@@ -274,26 +281,28 @@ def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
     first = written(buckets.groupBy("node").agg(F.min("rep").alias("rep")).filter("rep < node").select(F.col("node").alias("a"), F.col("rep").alias("b")))
     links = written(verified(first, texts, p))
     labels = components(links)
-    tried = first
 
     # other representatives, for members that these may still join to something
     apart = _joined(_joined(buckets.filter("rep < node"), "node", labels, "x"), "rep", labels, "y").filter("x <> y")
-    second = written(apart.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    second = written(apart.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         links = links.union(written(verified(second, texts, p)))
-        labels, tried = components(links), tried.union(second)
-
-    # what differs from most of its bucket is held against every member of another component there
-    held = written(_joined(buckets, "node", labels, "label"))
-    sizes = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("n") - F.max("n")).alias("odd")).filter("parts > 1")
-    mixed = held.join(main.select("bucket", "main", F.ceil(F.col("odd") / p.queries_per_slice).cast("int").alias("cuts")), "bucket").join(sketches, "node")
-    query = mixed.filter("label <> main").select("bucket", F.pmod(F.xxhash64("node"), "cuts").cast("int").alias("cut"), F.lit(0).alias("kind"), "node", "label", "sketch")
-    every = mixed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(1).alias("kind"), "node", "label", "sketch")
-    dealt = query.unionByName(every).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "cut").sortWithinPartitions("bucket", "cut", "kind")
-    third = written(dealt.mapInArrow(_comparer(p), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
-    if not third.isEmpty():
-        links = links.union(written(verified(third, texts, p)))
         labels = components(links)
+
+    # what differs from most of its family is held against every member of another component there
+    families = components(buckets.filter("rep < node").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    held = written(_joined(families.withColumnRenamed("label", "family"), "node", labels, "label"))
+    sizes = held.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("odd")).filter("odd > 0")
+    mixed = written(held.join(main.select("family", "main", F.ceil(F.col("odd") / p.queries_per_slice).cast("int").alias("cuts")), "family"))
+    if not mixed.isEmpty():
+        told = texts.select(F.col("doc_id").alias("node"), "text").join(_small(mixed, p), "node")
+        told = told.join(sketches, "node")
+        query = told.filter("label <> main").select("family", F.pmod(F.xxhash64("node"), "cuts").cast("int").alias("cut"), F.lit(0).alias("kind"), "node", "label", "sketch", "text")
+        every = told.select("family", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(1).alias("kind"), "node", "label", "sketch", "text")
+        dealt = query.unionByName(every).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "cut").sortWithinPartitions("family", "cut", "kind")
+        third = written(dealt.mapInArrow(_comparer(p), "a long, b long, similarity double").distinct())
+        if not third.isEmpty():
+            labels = components(links.union(third))
     classes = _joined(members.select("doc_id", "copy_of"), "copy_of", labels, "class_id")
     return classes.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "copy_of", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
