@@ -290,8 +290,9 @@ def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
         labels = components(links)
 
     # what differs from most of its family is held against every member of another component there
-    families = components(buckets.filter("rep < node").select(F.col("node").alias("a"), F.col("rep").alias("b")))
-    held = written(_joined(families.withColumnRenamed("label", "family"), "node", labels, "label"))
+    across = _joined(_joined(buckets.filter("rep < node"), "node", labels, "x"), "rep", labels, "y").filter("x <> y")
+    families = components(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("family"))
+    held = written(_joined(buckets.select("node").distinct(), "node", labels, "label").join(families, "label"))
     sizes = held.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("odd")).filter("odd > 0")
     mixed = written(held.join(main.select("family", "main", F.ceil(F.col("odd") / p.queries_per_slice).cast("int").alias("cuts")), "family"))
