@@ -1,0 +1 @@
+"""A semantic layer for Spark: views of dimensions and metrics, answered as lazy DataFrames."""

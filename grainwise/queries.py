@@ -1,5 +1,220 @@
-"""Registered queries."""
+"""Registered queries: requests against views over the driver's tables, and SQL that answers them another way."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .engine import Engine
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "q_base_group"
-QUERIES: dict = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+SALES = """CREATE OR REPLACE SEMANTIC VIEW sales AS
+TABLES (
+  l AS lineitem PRIMARY KEY (l_orderkey, l_linenumber),
+  o AS orders PRIMARY KEY (o_orderkey),
+  c AS customer PRIMARY KEY (c_custkey),
+  s AS supplier PRIMARY KEY (s_suppkey),
+  p AS part PRIMARY KEY (p_partkey),
+  cn AS nation PRIMARY KEY (n_nationkey),
+  sn AS nation PRIMARY KEY (n_nationkey),
+  cr AS region PRIMARY KEY (r_regionkey)
+)
+RELATIONSHIPS (
+  l_o AS l (l_orderkey) REFERENCES o,
+  o_c AS o (o_custkey) REFERENCES c,
+  l_s AS l (l_suppkey) REFERENCES s,
+  l_p AS l (l_partkey) REFERENCES p,
+  c_n AS c (c_nationkey) REFERENCES cn,
+  s_n AS s (s_nationkey) REFERENCES sn,
+  n_r AS cn (n_regionkey) REFERENCES cr
+)
+FACTS (
+  l.net AS l.l_extendedprice * (1 - l.l_discount),
+  l.gross AS net * (1 + l.l_tax),
+  o.price_thousands AS o.o_totalprice / 1000,
+  PRIVATE l.hidden AS l.l_tax
+)
+DIMENSIONS (
+  l.returnflag AS l.l_returnflag, l.linestatus AS l.l_linestatus,
+  l.shipyear AS year(l.l_shipdate), l.linenumber AS l.l_linenumber,
+  o.priority AS o.o_orderpriority LABELS = (FILTER), o.status AS o.o_orderstatus,
+  o.orderyear AS year(o.o_orderdate),
+  o.ordermonth AS CAST(date_trunc('month', o.o_orderdate) AS date),
+  c.segment AS c.c_mktsegment, p.brand AS p.p_brand, s.supplier_name AS s.s_name,
+  cn.customer_nation AS cn.n_name, sn.supplier_nation AS sn.n_name, cr.region AS cr.r_name
+)
+METRICS (
+  l.revenue AS SUM(net) COMMENT = 'after discount',
+  l.gross_revenue AS SUM(gross),
+  l.quantity AS SUM(l.l_quantity),
+  l.line_count AS COUNT(*),
+  l.avg_discount AS AVG(l.l_discount),
+  l.parts AS COUNT(DISTINCT l.l_partkey),
+  l.returned AS SUM(l.l_quantity) FILTER (WHERE l.l_returnflag = 'R'),
+  l.order_value AS SUM(o.price_thousands),
+  o.order_count AS COUNT(*),
+  o.order_total AS SUM(o.o_totalprice),
+  c.customer_count AS COUNT(*),
+  c.balance AS SUM(c.c_acctbal),
+  PRIVATE l.cost AS SUM(l.l_extendedprice * l.l_discount),
+  revenue_per_unit AS revenue / nullif(quantity, 0),
+  discount_share AS cost / nullif(revenue + cost, 0),
+  revenue_per_order AS revenue / nullif(order_count, 0),
+  running_revenue AS SUM(revenue) OVER (PARTITION BY EXCLUDING orderyear ORDER BY orderyear ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  last_revenue AS LAG(revenue, 1) OVER (PARTITION BY EXCLUDING orderyear ORDER BY orderyear ASC NULLS LAST),
+  segment_rank AS RANK(revenue) OVER (PARTITION BY segment ORDER BY orderyear DESC),
+  quarter_revenue AS AVG(revenue) OVER (ORDER BY ordermonth RANGE BETWEEN INTERVAL '2' MONTH PRECEDING AND CURRENT ROW)
+)
+MATERIALIZATIONS (
+  by_segment AS (TABLE segment_totals, DIMENSIONS (segment), METRICS (revenue, line_count))
+)
+COMMENT = 'order lines'"""
+
+ORDERS = """CREATE OR REPLACE SEMANTIC VIEW order_view AS
+TABLES (o AS orders PRIMARY KEY (o_orderkey), l AS lineitem PRIMARY KEY (l_orderkey, l_linenumber), c AS customer PRIMARY KEY (c_custkey))
+RELATIONSHIPS (l_o AS l (l_orderkey) REFERENCES o, o_c AS o (o_custkey) REFERENCES c)
+FACTS (l.qty AS l.l_quantity, o.price AS o.o_totalprice)
+DIMENSIONS (o.priority AS o.o_orderpriority, o.orderkey AS o.o_orderkey, l.flag AS l.l_returnflag, c.segment AS c.c_mktsegment)
+METRICS (o.order_count AS COUNT(*), o.total AS SUM(o.o_totalprice), l.line_count AS COUNT(*), l.units AS SUM(l.l_quantity), l.filled AS SUM(COALESCE(l.l_quantity, 99)), c.balance AS SUM(c.c_acctbal))"""
+
+EVENTS = """CREATE OR REPLACE SEMANTIC VIEW event_view AS
+TABLES (e AS events PRIMARY KEY (event_id), c AS customer PRIMARY KEY (c_custkey))
+RELATIONSHIPS (e_c AS e (user_id) REFERENCES c)
+DIMENSIONS (e.user_id AS e.user_id, e.event_type AS e.event_type, e.ts AS e.ts, e.day AS CAST(e.ts AS DATE), c.segment AS c.c_mktsegment)
+METRICS (
+  e.latest_value NON ADDITIVE BY (ts ASC NULLS LAST) AS SUM(e.value),
+  e.earliest_value NON ADDITIVE BY (ts DESC NULLS FIRST) AS SUM(e.value),
+  e.latest_day_value NON ADDITIVE BY (day) AS SUM(e.value),
+  e.event_count AS COUNT(e.event_id)
+)"""
+
+ROLES = """CREATE OR REPLACE SEMANTIC VIEW trade AS
+TABLES (t AS trade_rows PRIMARY KEY (l_orderkey, l_linenumber), n AS nation PRIMARY KEY (n_nationkey))
+RELATIONSHIPS (buyer AS t (cust_nation) REFERENCES n, seller AS t (supp_nation) REFERENCES n)
+DIMENSIONS (n.nation AS n.n_name)
+METRICS (t.bought USING (buyer) AS SUM(t.l_quantity), t.sold USING (seller) AS SUM(t.l_quantity))"""
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """Views over the Parquet tables of a folder."""
+    for name in TABLES:
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    e = Engine(spark)
+    for statement in (SALES, ORDERS, EVENTS, ROLES):
+        e.sql(statement)
+    return e
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to four places: sums depend on their order in the last bits."""
+    return df.select(*(F.round(c, 4).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def _ask(view: str, **request) -> Query:
+    return lambda spark, sf_dir: _rounded(engine(spark, sf_dir).query(view, **request))
+
+
+def _segment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of totals kept beside the sources; the request is answered from it."""
+    e = engine(spark, sf_dir)
+    totals = e.query("sales", ["brand", "segment"], ["revenue", "line_count"]).groupBy("segment").agg(F.sum("revenue").alias("revenue"), F.sum("line_count").alias("line_count"))
+    totals.createOrReplaceTempView("segment_totals")
+    return _rounded(e.query("sales", ["segment"], ["revenue", "line_count"]))
+
+
+def _trade(*metrics: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        spark.sql("SELECT l.*, c_nationkey AS cust_nation, s_nationkey AS supp_nation FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey").createOrReplaceTempView("trade_rows")
+        return _rounded(e.query("trade", ["nation"], metrics))
+
+    return run
+
+
+def _sql(statement: str) -> Query:
+    return lambda spark, sf_dir: engine(spark, sf_dir).sql(statement)
+
+
+def _yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view written as YAML, read again under another name, gives the same rows."""
+    e = engine(spark, sf_dir)
+    e.create_from_yaml("sales_again", e.read_yaml("sales"))
+    return _rounded(e.query("sales_again", ["returnflag"], ["revenue"]))
+
+
+def _ddl_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view's DDL, run again, gives the same rows."""
+    e = engine(spark, sf_dir)
+    e.sql(e.get_ddl("sales"))
+    return _rounded(e.query("sales", ["linestatus"], ["quantity"]))
+
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql
+
+
+_NET = "l_extendedprice * (1 - l_discount)"
+_LOC = "lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey"
+
+_add("q_base_group", _ask("sales", dimensions=["segment"], metrics=["revenue", "line_count", "avg_discount"]), f"SELECT c_mktsegment AS segment, round(sum({_NET}), 4) AS revenue, count(*) AS line_count, round(avg(l_discount), 4) AS avg_discount FROM {_LOC} GROUP BY 1")
+_add("q_dims_only", _ask("sales", dimensions=["returnflag", "linestatus"]), "SELECT DISTINCT l_returnflag AS returnflag, l_linestatus AS linestatus FROM lineitem")
+_add("q_metrics_only", _ask("sales", metrics=["quantity", "line_count", "parts"]), "SELECT round(sum(l_quantity), 4) AS quantity, count(*) AS line_count, count(DISTINCT l_partkey) AS parts FROM lineitem")
+_add("q_pruned", _ask("sales", dimensions=["brand"], metrics=["quantity"]), "SELECT p_brand AS brand, round(sum(l_quantity), 4) AS quantity FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1")
+_add("q_facts_rows", _ask("sales", dimensions=["linenumber"], facts=["net", "gross"]), f"SELECT l_linenumber AS linenumber, round({_NET}, 4) AS net, round({_NET} * (1 + l_tax), 4) AS gross FROM lineitem")
+_add("q_fact_chain", _ask("sales", dimensions=["returnflag"], metrics=["gross_revenue"]), f"SELECT l_returnflag AS returnflag, round(sum({_NET} * (1 + l_tax)), 4) AS gross_revenue FROM lineitem GROUP BY 1")
+_add("q_derived", _ask("sales", dimensions=["returnflag"], metrics=["revenue_per_unit", "discount_share"]), f"SELECT l_returnflag AS returnflag, round(sum({_NET}) / sum(l_quantity), 4) AS revenue_per_unit, round(sum(l_extendedprice * l_discount) / sum(l_extendedprice), 4) AS discount_share FROM lineitem GROUP BY 1")
+_add("q_cross_table_fact", _ask("sales", dimensions=["returnflag"], metrics=["order_value"]), "SELECT l_returnflag AS returnflag, round(sum(o_totalprice / 1000), 4) AS order_value FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+_add("q_filter_aggregate", _ask("sales", dimensions=["segment"], metrics=["returned"]), f"SELECT c_mktsegment AS segment, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 4) AS returned FROM {_LOC} GROUP BY 1")
+_add("q_where", _ask("sales", dimensions=["returnflag"], metrics=["line_count"], where="net > 20000 AND linestatus = 'O'"), f"SELECT l_returnflag AS returnflag, count(*) AS line_count FROM lineitem WHERE {_NET} > 20000 AND l_linestatus = 'O' GROUP BY 1")
+_add("q_where_cross", _ask("sales", dimensions=["orderyear"], metrics=["quantity"], where="region = 'ASIA' OR priority = '1-URGENT'"), f"SELECT year(o_orderdate) AS orderyear, round(sum(l_quantity), 4) AS quantity FROM {_LOC} LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' OR o_orderpriority = '1-URGENT' GROUP BY 1")
+_add("q_parent_grain", _ask("sales", dimensions=["segment"], metrics=["balance", "customer_count"]), "SELECT c_mktsegment AS segment, round(sum(c_acctbal), 4) AS balance, count(*) AS customer_count FROM customer GROUP BY 1")
+_add("q_multi_grain", _ask("sales", dimensions=["segment"], metrics=["balance", "order_count", "revenue"]), f"SELECT segment, balance, order_count, revenue FROM (SELECT c_mktsegment AS segment, round(sum(c_acctbal), 4) AS balance FROM customer GROUP BY 1) FULL JOIN (SELECT c_mktsegment AS segment, count(*) AS order_count FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1) USING (segment) FULL JOIN (SELECT c_mktsegment AS segment, round(sum({_NET}), 4) AS revenue FROM {_LOC} GROUP BY 1) USING (segment)")
+_add("q_multi_grain_total", _ask("sales", metrics=["balance", "order_total", "line_count"]), "SELECT (SELECT round(sum(c_acctbal), 4) FROM customer) AS balance, (SELECT round(sum(o_totalprice), 4) FROM orders) AS order_total, (SELECT count(*) FROM lineitem) AS line_count")
+_add("q_multi_grain_derived", _ask("sales", dimensions=["orderyear"], metrics=["revenue_per_order"]), f"SELECT orderyear, round(r / n, 4) AS revenue_per_order FROM (SELECT year(o_orderdate) AS orderyear, count(*) AS n FROM orders GROUP BY 1) FULL JOIN (SELECT year(o_orderdate) AS orderyear, sum({_NET}) AS r FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) USING (orderyear)")
+_add("q_multi_grain_where", _ask("sales", dimensions=["priority"], metrics=["order_count", "quantity"], where="segment = 'BUILDING'"), "SELECT priority, order_count, quantity FROM (SELECT o_orderpriority AS priority, count(*) AS order_count FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1) FULL JOIN (SELECT o_orderpriority AS priority, round(sum(l_quantity), 4) AS quantity FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1) USING (priority)")
+_CHILD = "orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"
+_add("q_child_count", _ask("order_view", dimensions=["priority"], metrics=["line_count", "filled"]), f"SELECT o_orderpriority AS priority, count(l_orderkey) AS line_count, round(sum(CASE WHEN l_orderkey IS NOT NULL THEN coalesce(l_quantity, 99) END), 4) AS filled FROM {_CHILD} GROUP BY 1")
+_add("q_childless_zero", _ask("order_view", dimensions=["orderkey"], metrics=["line_count"]), f"SELECT o_orderkey AS orderkey, count(l_orderkey) AS line_count FROM {_CHILD} GROUP BY 1")
+_add("q_childless_facts", _ask("order_view", facts=["qty"]), "SELECT l_quantity AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+_add("q_child_distinct", _ask("order_view", dimensions=["flag"]), "SELECT DISTINCT l_returnflag AS flag FROM lineitem")
+_add("q_child_parent", _ask("order_view", dimensions=["segment"], metrics=["order_count", "units"]), "SELECT segment, order_count, units FROM (SELECT c_mktsegment AS segment, count(*) AS order_count FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1) FULL JOIN (SELECT c_mktsegment AS segment, round(sum(l_quantity), 4) AS units FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1) USING (segment)")
+_add("q_two_aliases", _ask("sales", dimensions=["customer_nation", "supplier_nation"], metrics=["quantity"]), f"SELECT a.n_name AS customer_nation, b.n_name AS supplier_nation, round(sum(l_quantity), 4) AS quantity FROM {_LOC} LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation a ON c_nationkey = a.n_nationkey LEFT JOIN nation b ON s_nationkey = b.n_nationkey GROUP BY 1, 2")
+_add("q_role_buyer", _trade("bought"), "SELECT n_name AS nation, round(sum(l_quantity), 4) AS bought FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+_add("q_role_seller", _trade("sold"), "SELECT n_name AS nation, round(sum(l_quantity), 4) AS sold FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+_add("q_semi_latest", _ask("event_view", dimensions=["user_id"], metrics=["latest_value"]), "SELECT user_id, round(sum(value), 4) AS latest_value FROM events e WHERE ts = (SELECT max(ts) FROM events x WHERE x.user_id = e.user_id) GROUP BY 1")
+_add("q_semi_earliest", _ask("event_view", dimensions=["user_id"], metrics=["earliest_value"]), "SELECT user_id, round(sum(value), 4) AS earliest_value FROM events e WHERE ts = (SELECT min(ts) FROM events x WHERE x.user_id = e.user_id) GROUP BY 1")
+_add("q_semi_ties", _ask("event_view", dimensions=["event_type"], metrics=["latest_day_value", "event_count"]), "SELECT event_type, round(sum(value) FILTER (WHERE CAST(ts AS DATE) = d), 4) AS latest_day_value, count(*) AS event_count FROM (SELECT *, (SELECT max(CAST(x.ts AS DATE)) FROM events x WHERE x.event_type = e.event_type) AS d FROM events e) GROUP BY 1")
+_add("q_semi_where", _ask("event_view", dimensions=["user_id"], metrics=["latest_value"], where="event_type = 'click'"), "SELECT user_id, round(sum(value), 4) AS latest_value FROM events e WHERE event_type = 'click' AND ts = (SELECT max(ts) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'click') GROUP BY 1")
+_add("q_semi_total", _ask("event_view", metrics=["latest_value"]), "SELECT round(sum(value), 4) AS latest_value FROM events WHERE ts = (SELECT max(ts) FROM events)")
+_add("q_semi_queried", _ask("event_view", dimensions=["ts"], metrics=["latest_value"]), "SELECT ts, round(sum(value), 4) AS latest_value FROM events GROUP BY 1")
+_YEARLY = f"SELECT c_mktsegment AS segment, year(o_orderdate) AS orderyear, sum({_NET}) AS r FROM {_LOC} GROUP BY 1, 2"
+_add("q_win_running", _ask("sales", dimensions=["segment", "orderyear"], metrics=["running_revenue"]), f"WITH y AS ({_YEARLY}) SELECT a.segment, a.orderyear, round(sum(b.r), 4) AS running_revenue FROM y a JOIN y b ON a.segment = b.segment AND b.orderyear <= a.orderyear GROUP BY 1, 2")
+_add("q_win_excluding", _ask("sales", dimensions=["orderyear"], metrics=["running_revenue"]), f"WITH y AS (SELECT orderyear, sum(r) AS r FROM ({_YEARLY}) GROUP BY 1) SELECT a.orderyear, round(sum(b.r), 4) AS running_revenue FROM y a JOIN y b ON b.orderyear <= a.orderyear GROUP BY 1")
+_add("q_win_lag", _ask("sales", dimensions=["segment", "orderyear"], metrics=["last_revenue"]), f"WITH y AS ({_YEARLY}) SELECT a.segment, a.orderyear, round(b.r, 4) AS last_revenue FROM y a LEFT JOIN y b ON a.segment = b.segment AND b.orderyear = (SELECT max(orderyear) FROM y z WHERE z.segment = a.segment AND z.orderyear < a.orderyear)")
+_add("q_win_rank", _ask("sales", dimensions=["segment", "orderyear"], metrics=["segment_rank"]), f"WITH y AS ({_YEARLY}) SELECT a.segment, a.orderyear, CAST(1 + (SELECT count(*) FROM y b WHERE b.segment = a.segment AND b.orderyear > a.orderyear) AS INTEGER) AS segment_rank FROM y a")
+_add("q_win_range", _ask("sales", dimensions=["ordermonth"], metrics=["quarter_revenue"]), f"WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ordermonth, sum({_NET}) AS r FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT a.ordermonth, round(avg(b.r), 4) AS quarter_revenue FROM m a JOIN m b ON b.ordermonth BETWEEN a.ordermonth - INTERVAL 2 MONTH AND a.ordermonth GROUP BY 1")
+_add("q_mat_hit", _segment_totals, f"SELECT c_mktsegment AS segment, round(sum({_NET}), 4) AS revenue, count(*) AS line_count FROM {_LOC} GROUP BY 1")
+_add("q_mat_miss", _ask("sales", dimensions=["segment"], metrics=["line_count"], where="returnflag = 'A'"), f"SELECT c_mktsegment AS segment, count(*) AS line_count FROM {_LOC} WHERE l_returnflag = 'A' GROUP BY 1")
+_add("q_wildcard", _ask("sales", dimensions=["cr.*"], metrics=["o.*"]), "SELECT r_name AS region, count(*) AS order_count, round(sum(o_totalprice), 4) AS order_total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+_add("q_sql_form", lambda spark, sf_dir: _rounded(engine(spark, sf_dir).sql("SELECT segment, quantity FROM semantic_view('sales', dimensions := ['segment', 'priority'], metrics := ['quantity'], where_clause := 'returnflag = ''N''') WHERE priority = '2-HIGH'")), f"SELECT c_mktsegment AS segment, round(sum(l_quantity), 4) AS quantity FROM {_LOC} WHERE l_returnflag = 'N' AND o_orderpriority = '2-HIGH' GROUP BY 1")
+_add("q_sql_top", lambda spark, sf_dir: _rounded(engine(spark, sf_dir).sql("SELECT * FROM semantic_view('sales', dimensions := ['brand'], metrics := ['quantity']) ORDER BY quantity DESC, brand LIMIT 5")), "SELECT p_brand AS brand, round(sum(l_quantity), 4) AS quantity FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+_add("q_yaml_round_trip", _yaml, f"SELECT l_returnflag AS returnflag, round(sum({_NET}), 4) AS revenue FROM lineitem GROUP BY 1")
+_add("q_ddl_round_trip", _ddl_again, "SELECT l_linestatus AS linestatus, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY 1")
+for _name, _statement in {
+    "q_show_views": "SHOW SEMANTIC VIEWS", "q_show_terse": "SHOW TERSE SEMANTIC VIEWS LIKE 'order%'", "q_show_dimensions": "SHOW SEMANTIC DIMENSIONS IN sales", "q_show_metrics": "SHOW SEMANTIC METRICS IN sales",
+    "q_show_facts": "SHOW SEMANTIC FACTS IN sales", "q_show_dimensions_for": "SHOW SEMANTIC DIMENSIONS IN sales FOR METRIC order_count", "q_show_materializations": "SHOW SEMANTIC MATERIALIZATIONS",
+    "q_show_columns": "SHOW COLUMNS IN SEMANTIC VIEW order_view", "q_describe": "DESCRIBE SEMANTIC VIEW sales", "q_get_ddl": "SELECT GET_DDL('SEMANTIC_VIEW', 'sales')", "q_read_yaml": "SELECT READ_YAML_FROM_SEMANTIC_VIEW('sales')",
+    "q_explain": "explain_semantic_view('sales', dimensions := ['segment'], metrics := ['balance', 'revenue'])",
+}.items():
+    _add(_name, _sql(_statement))
