@@ -1,10 +1,13 @@
 """Removal of repeated passages by seed and extend.
 
+Of documents with one text the first is taken for all; a later one loses every word that
+lies in a window, that is all of them if it is as long as one.
+
 A window is ``threshold`` consecutive words.  Seeds: of each window's runs of ``seed``
 words the one with the smallest hash (the first of equals) is the window's anchor; equal
 windows hence have equal anchors at equal places, and about one run in five is an anchor.
-Documents are joined on anchors: an anchor that only one document has can't lie in a
-repeat and is dropped.  Extend: from every anchor that is left, the match grows both ways,
+Documents are joined on anchors: an anchor that only one text has can't lie in a repeat
+and is dropped.  Extend: from every anchor that is left, the match grows both ways,
 word by word, over all windows that chose this anchor; a stretch is met again elsewhere
 exactly if its 128-bit content is, so extensions are joined on content and not pair by
 pair, and a passage that thousands of documents share costs a row for each place instead
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import dropped, prepare, written
@@ -32,6 +35,9 @@ from ._words import Batch, steps, text_bytes
 
 _TO_SPACE = bytes(0x20 if 9 <= b <= 13 else b for b in range(256))
 
+#: Stands for all windows of a document.
+EVERY = -1
+
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
@@ -64,26 +70,22 @@ def anchored(batch: Batch, p: SubstringDedup) -> tuple[np.ndarray, np.ndarray, n
     return at, doc, where, best
 
 
-def _ids(rows: pa.RecordBatch) -> np.ndarray:
-    return rows.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _anchors(p: SubstringDedup):
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
+    schema = pa.schema([("anchor", pa.int64()), ("text_key", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in steps(batches):
             _, doc, where, h = anchored(Batch(*text_bytes(rows.column("text"))), p)
             first = np.ones(len(where), bool)
             first[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(_ids(rows)[doc[first]])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), rows.column("text_key").take(pa.array(doc[first]))], schema=schema)
 
     return emit
 
 
 def _windows(p: SubstringDedup):
     """For each document and its repeated anchors: the windows around these anchors."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("ordinal", pa.int32()), ("start", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in steps(batches):
@@ -98,13 +100,15 @@ def _windows(p: SubstringDedup):
                 keep[own] = np.isin(h[own], known[owner == d]) if own.stop > own.start else False
             at, doc = at[keep], doc[keep]
             sums = [batch.spans_hash(at, at + p.threshold, i).view(np.int64) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(sums[0]), pa.array(sums[1]), pa.array(_ids(rows)[doc]), rows.column("text_key").take(pa.array(doc)), pa.array((at - batch.first[doc]).astype(np.int32))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(sums[0]), pa.array(sums[1]), rows.column("doc_id").take(pa.array(doc)), rows.column("ordinal").take(pa.array(doc)), pa.array((at - batch.first[doc]).astype(np.int32))], schema=schema)
 
     return emit
 
 
 def covered(starts: np.ndarray, n_words: int, threshold: int) -> np.ndarray:
     """Which of a document's words lie in one of the windows."""
+    if len(starts) and starts[0] == EVERY:
+        return np.full(n_words, n_words >= threshold)
     edge = np.zeros(n_words + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + threshold, n_words), -1)
@@ -135,26 +139,34 @@ def _cutter(p: SubstringDedup, names: list[str], keep_text: bool):
     return cut
 
 
-def set_key(df: DataFrame) -> DataFrame:
-    """Adds text_key, the text's hash, by which rows with one doc_id are told apart."""
-    return df.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+def with_keys(docs: DataFrame) -> DataFrame:
+    """_id and text_key, which with doc_id tells rows apart."""
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text_key": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
 def repeated_windows(docs: DataFrame, p: SubstringDedup = SubstringDedup()) -> DataFrame:
-    """(doc_id, text_key, starts): the windows of each document that an earlier document also has."""
+    """(_id, text_key, starts): the windows of each document that an earlier document also has; [EVERY] for a later copy."""
     prepare(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seeds = texts.mapInArrow(_anchors(p), "anchor long, doc_id long")
-    joined = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    # an anchor of two documents names both; one of more is joined with its places again
-    by_doc = written(seeds.join(joined.select("anchor"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    keyed = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(by_doc, "doc_id").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text", "anchors")
-    windows = written(keyed.mapInArrow(_windows(p), "a long, b long, doc_id long, text_key long, start int"))
+    texts = with_keys(docs.select("doc_id", "text"))
+    second = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    ids = written(texts.select("_id", "text_key", second.alias("text_crc"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size")))
+    firsts = written(ids.groupBy("text_key", "text_crc", "size").agg(F.min("_id").alias("first")))
+    copies = ids.join(firsts, ["text_key", "text_crc", "size"]).filter("first < _id").select("_id", "text_key", F.array(F.lit(EVERY)).alias("starts")).distinct()
+
+    seeds = texts.select("text_key", "text").mapInArrow(_anchors(p), "anchor long, text_key long")
+    joined = seeds.groupBy("anchor").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).filter("lo < hi")
+    by_text = seeds.join(joined.select("anchor"), "anchor", "left_semi").groupBy("text_key").agg(F.collect_set("anchor").alias("anchors"))
+    order = Window.partitionBy("first").orderBy("text_key", "text_crc", "size")
+    chosen = written(by_text.join(firsts, "text_key").select("text_key", F.col("first").alias("_id"), (F.row_number().over(order) - 1).alias("ordinal"), "anchors"))
+    keyed = texts.join(chosen, ["_id", "text_key"]).select(F.col("_id").alias("doc_id"), "ordinal", "text", "anchors")
+    windows = written(keyed.mapInArrow(_windows(p), "a long, b long, doc_id long, ordinal int, start int"))
     source = windows.groupBy("a", "b").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last").select("a", "b", "source")
     later = windows.join(source, ["a", "b"]).filter("source < doc_id")
-    marks = written(later.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts")))
-    dropped(by_doc, windows)
-    return marks
+    found = later.groupBy(F.col("doc_id").alias("_id"), "ordinal").agg(F.collect_set("start").alias("starts"))
+    marks = found.join(chosen.select("_id", "ordinal", "text_key"), ["_id", "ordinal"]).select("_id", "text_key", "starts")
+    out = written(marks.unionByName(copies))
+    dropped(ids, firsts, chosen, windows)
+    return out
 
 
 def remove_repeats(docs: DataFrame, p: SubstringDedup = SubstringDedup()) -> DataFrame:
@@ -165,12 +177,11 @@ def remove_repeats(docs: DataFrame, p: SubstringDedup = SubstringDedup()) -> Dat
 
 def _cut(docs: DataFrame, p: SubstringDedup, keep_text: bool) -> DataFrame:
     """The rows with counts and digest, and with what is kept as their text or without a text."""
-    marks = repeated_windows(docs, p).withColumnRenamed("doc_id", "_id")
+    marks = repeated_windows(docs, p)
     rest = [f for f in docs.schema if f.name not in ("doc_id", "text")]
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     ddl = lambda f: f"`{f.name}` {f.dataType.simpleString()}"
     kept = [docs.schema["doc_id"], *([docs.schema["text"]] if keep_text else []), *rest]
-    marked = set_key(keyed).join(marks, ["_id", "text_key"], "left").select("doc_id", "text", *(f.name for f in rest), "starts")
+    marked = with_keys(docs).join(marks, ["_id", "text_key"], "left").select("doc_id", "text", *(f.name for f in rest), "starts")
     names = [f.name for f in kept]
     schema = ", ".join([*(ddl(f) for f in kept), "n_words long, n_removed long, kept_sha256 string"])
     return marked.mapInArrow(_cutter(p, names, keep_text), schema)
