@@ -4,9 +4,9 @@ Benchmark items and documents are normalised alike (A-Z lower-cased; words are r
 ASCII digits and letters and of all non-ASCII characters).  Windows are ``words``
 consecutive words of an item; a shorter item with words is one window.  The hash set of
 the windows is broadcast if it holds at most ``broadcast_windows`` windows, which bounds
-its size, and joined by a shuffle otherwise.  Each document's windows are hashed, probed
-against the set, and verified word by word inside the join, so that only true hits leave
-it.  Spans are merged for each document.
+its size, and joined by a shuffle otherwise.  Each document's windows are probed against the
+set by the hash of their first three words and verified word by word inside the join, so
+that only true hits leave it.  Spans are merged for each document.
 
 Defined results: a null text has no words; a null item_id names no item, but its windows
 still hit; rows that share doc_id and text give the same result each, rows that share only
@@ -24,9 +24,14 @@ from ._spark import prepare, text_or_empty, written
 
 # The definition of words.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: A window is looked up by the hash of so many of its first words (get() beyond a shorter one is null, which a hash skips).
+SEED = 3
+
+
 @dataclass(frozen=True)
 class Decontamination:
     words: int = 10
@@ -41,8 +46,8 @@ def words_of(text: Column) -> Column:
 
 
 def window_hashes(words: str, k: int) -> Column:
-    """Hashes of all runs of k words, in order of their first word."""
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(F.col(words), i, k))))
+    """Hashes of the first words of all runs of k words, in order."""
+    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(F.col(words), i + j) for j in range(min(k, SEED))))))
 
 
 def item_windows(benchmark: DataFrame, p: Decontamination) -> DataFrame:
@@ -50,7 +55,7 @@ def item_windows(benchmark: DataFrame, p: Decontamination) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(text_or_empty()).alias("w")).filter(F.size("w") > 0)
     k = F.least(F.size("w"), F.lit(p.words))
     at = items.withColumn("k", k).select("item_id", "k", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("i"))
-    return at.select("item_id", "k", F.slice("w", F.col("i"), F.col("k")).alias("window")).distinct().withColumn("h", F.xxhash64("window"))
+    return at.select("item_id", "k", F.slice("w", F.col("i"), F.col("k")).alias("window")).distinct().withColumn("h", F.xxhash64(*(F.get("window", F.lit(j)) for j in range(SEED))))
 
 
 def hits(docs: DataFrame, windows: DataFrame, p: Decontamination) -> DataFrame:
@@ -76,7 +81,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Decontamination = De
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("key"), words_of(text_or_empty()).alias("w"))
     windows = written(item_windows(benchmark, p))
-    base = rows.select("doc_id", "key", F.size("w").cast("long").alias("n_words"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("key"), F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("n_words"))
     found = hits(rows, windows, p)
     if found is None:
         spans, named = None, None
