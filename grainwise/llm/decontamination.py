@@ -4,9 +4,9 @@ Benchmark items and documents are normalised alike (A-Z lower-cased; words are r
 ASCII digits and letters and of all non-ASCII characters).  Windows are ``words``
 consecutive words of an item; a shorter item with words is one window.  The hash set of
 the windows is broadcast if it holds at most ``broadcast_windows`` windows, which bounds
-its size, and joined by a shuffle otherwise.  Each document's windows are probed against the
-set by the hash of their first three words and verified word by word inside the join, so
-that only true hits leave it.  Spans are merged for each document.
+its size, and joined by a shuffle otherwise.  A window is keyed by its longest word, which
+few documents have; each word of a document probes the hash set of these keys, and the
+window around it is verified word by word inside the join, so that only true hits leave it.  Spans are merged for each document.
 
 Defined results: a null text has no words; a null item_id names no item, but its windows
 still hit; rows that share doc_id and text give the same result each, rows that share only
@@ -24,14 +24,9 @@ from ._spark import prepare, text_or_empty, written
 
 # The definition of words.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-#: A window is looked up by the hash of so many of its first words (get() beyond a shorter one is null, which a hash skips).
-SEED = 3
-
-
 @dataclass(frozen=True)
 class Decontamination:
     words: int = 10
@@ -45,35 +40,28 @@ def words_of(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def window_hashes(words: str, k: int) -> Column:
-    """Hashes of the first words of all runs of k words, in order."""
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(F.col(words), i + j) for j in range(min(k, SEED))))))
-
-
 def item_windows(benchmark: DataFrame, p: Decontamination) -> DataFrame:
-    """(item_id, k, window, h) of every distinct window of every item."""
+    """(item_id, k, window, word, off) of every distinct window of every item, with its key and the key's place."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(text_or_empty()).alias("w")).filter(F.size("w") > 0)
     k = F.least(F.size("w"), F.lit(p.words))
     at = items.withColumn("k", k).select("item_id", "k", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("i"))
-    return at.select("item_id", "k", F.slice("w", F.col("i"), F.col("k")).alias("window")).distinct().withColumn("h", F.xxhash64(*(F.get("window", F.lit(j)) for j in range(SEED))))
+    windows = at.select("item_id", "k", F.slice("w", F.col("i"), F.col("k")).alias("window")).distinct()
+    longest = F.array_max(F.transform("window", lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x"))))
+    return windows.select("item_id", "k", "window", longest["x"].alias("word"), (-longest["i"]).alias("off"))
 
 
 def hits(docs: DataFrame, windows: DataFrame, p: Decontamination) -> DataFrame:
-    """(key columns, first word, k, h) of every place in ``docs`` (doc_id, key, w) where a window occurs."""
-    distinct = written(windows.select("k", "window", "h").distinct())
-    lengths = sorted(r["k"] for r in distinct.select("k").distinct().collect())  # at most p.words
-    few = distinct.count() <= p.broadcast_windows
-    probe = distinct.select(F.col("k").alias("wk"), F.col("window"), F.col("h").alias("wh"))
-    probe = F.broadcast(probe) if few else probe
-    found = None
-    for k in lengths:
-        places = docs.filter(F.size("w") >= k).select("doc_id", "key", "w", F.posexplode(window_hashes("w", k)).alias("at", "h"))
-        if not few:
-            places = places.select("doc_id", "key", F.slice("w", F.col("at") + 1, k).alias("w"), "at", "h")
-        same = (F.slice("w", F.col("at") + 1, k) if few else F.col("w")) == F.col("window")
-        got = places.join(probe, (F.col("h") == F.col("wh")) & (F.col("wk") == k) & same).select("doc_id", "key", "at", F.lit(k).alias("k"), F.col("window"))
-        found = got if found is None else found.unionByName(got)
-    return found
+    """(doc_id, key, first word, k, window) of every place in ``docs`` (doc_id, key, w) where a window occurs."""
+    distinct = written(windows.select("k", "window", F.col("word").alias("anchor"), "off").distinct())
+    places = docs.filter(F.size("w") > 0).select("doc_id", "key", "w", F.posexplode("w").alias("pos", "word"))
+    start = F.greatest(F.col("pos") - F.col("off") + 1, F.lit(1))
+    same = (F.col("pos") >= F.col("off")) & (F.slice("w", start, F.col("k")) == F.col("window"))
+    if distinct.count() <= p.broadcast_windows:
+        found = places.join(F.broadcast(distinct), (F.col("word") == F.col("anchor")) & same)
+    else:
+        near = places.drop("w").join(distinct, F.col("word") == F.col("anchor")).alias("n")
+        found = near.join(docs.alias("d"), (F.col("n.key") == F.col("d.key")) & F.col("n.doc_id").eqNullSafe(F.col("d.doc_id"))).filter(same).select("n.*")
+    return found.select("doc_id", "key", (F.col("pos") - F.col("off")).alias("at"), "k", "window")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
@@ -81,29 +69,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Decontamination = De
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("key"), words_of(text_or_empty()).alias("w"))
     windows = written(item_windows(benchmark, p))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("key"), F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("n_words"))
+    base = rows.select("doc_id", "key", F.size("w").cast("long").alias("n_words"))
     found = hits(rows, windows, p)
-    if found is None:
-        spans, named = None, None
-    else:
-        found = written(found.distinct())
-        # words of the union of the spans: each span adds what lies beyond the ends before it
-        start = F.struct("at", "k")
-        merged = F.aggregate(
-            F.array_sort(F.collect_set(start)),
-            F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
-            lambda a, s: F.struct(F.greatest(a["end"], s["at"] + s["k"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["at"] + s["k"] - F.greatest(a["end"], s["at"]))).alias("n")),
-        )
-        spans = found.groupBy("doc_id", "key").agg(merged["n"].alias("n_hit"), F.array_sort(F.collect_set(start)).alias("hit_spans"))
-        windows_of = windows.filter("item_id is not null").select("item_id", "window", "h")
-        pairs = found.select("doc_id", "key", "window").distinct().join(windows_of.drop("h"), "window").select("doc_id", "key", "item_id").distinct()
-        named = pairs.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"))
-    if spans is None:
-        result = base.withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": F.lit(""), "hit_spans": F.array().cast("array<struct<at:int,k:int>>")})
-    else:
-        on = lambda other: (base["key"] == other["key"]) & base["doc_id"].eqNullSafe(other["doc_id"])
-        both = spans.alias("s").join(named.alias("m"), (F.col("s.key") == F.col("m.key")) & F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select("s.doc_id", "s.key", "n_hit", "hit_spans", "n_items", "items")
-        result = base.join(both, on(both), "left").select(base["doc_id"], base["key"], "n_words", "n_hit", "hit_spans", "n_items", "items")
+    found = written(found.distinct())
+    # words of the union of the spans: each span adds what lies beyond the ends before it
+    start = F.struct("at", "k")
+    merged = F.aggregate(
+        F.array_sort(F.collect_set(start)),
+        F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda a, s: F.struct(F.greatest(a["end"], s["at"] + s["k"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["at"] + s["k"] - F.greatest(a["end"], s["at"]))).alias("n")),
+    )
+    spans = found.groupBy("doc_id", "key").agg(merged["n"].alias("n_hit"), F.array_sort(F.collect_set(start)).alias("hit_spans"))
+    windows_of = windows.filter("item_id is not null").select("item_id", "window")
+    pairs = found.select("doc_id", "key", "window").distinct().join(windows_of, "window").select("doc_id", "key", "item_id").distinct()
+    named = pairs.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"))
+    on = lambda other: (base["key"] == other["key"]) & base["doc_id"].eqNullSafe(other["doc_id"])
+    both = spans.alias("s").join(named.alias("m"), (F.col("s.key") == F.col("m.key")) & F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select("s.doc_id", "s.key", "n_hit", "hit_spans", "n_items", "items")
+    result = base.join(both, on(both), "left").select(base["doc_id"], base["key"], "n_words", "n_hit", "hit_spans", "n_items", "items")
     return result.select(
         "doc_id", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
