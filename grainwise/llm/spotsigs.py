@@ -96,8 +96,7 @@ def with_next(docs: DataFrame, columns: list[str], partitions: int | None = None
     cuts = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / n) for i in range(1, min(n, 4096)))), 100_000)).first()[0] if n > 1 else None
     cuts = sorted(set(cuts or []))
     if cuts:
-        points = F.array(*(F.lit(int(c)) for c in cuts))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(_position(points, len(cuts)))
+        part = F.when(F.col("doc_id").isNull(), 0).otherwise(_position(cuts))
     else:
         part = F.lit(0)
     ranged = docs.withColumn("_range", part.cast("int"))
@@ -121,15 +120,12 @@ def with_next(docs: DataFrame, columns: list[str], partitions: int | None = None
     return following.filter(~F.col("_halo")).select(*docs.columns, *(F.col("_next")[c].alias(f"next_{c}") for c in columns))
 
 
-def _position(points: Column, n: int) -> Column:
-    """How many of the sorted points are at most doc_id, by halving."""
-    low, step = F.lit(0), 1
-    while step * 2 <= n:
-        step *= 2
-    while step:
-        low = F.when(F.coalesce(F.get(points, low + (step - 1)), F.lit(2**63 - 1)) <= F.col("doc_id"), low + step).otherwise(low)
-        step //= 2
-    return low
+def _position(points: list[int]) -> Column:
+    """How many of the sorted points are at most doc_id: counted in every 64th, then among the 64 that follow."""
+    at_most = lambda x: x <= F.col("doc_id")
+    coarse = F.size(F.filter(F.array(*(F.lit(int(c)) for c in points[63::64])), at_most)) if len(points) >= 64 else F.lit(0)
+    fine = F.slice(F.array(*(F.lit(int(c)) for c in points)), coarse * 64 + 1, 64)
+    return coarse * 64 + F.size(F.filter(fine, at_most))
 
 
 def edited_text(text: str = "text", other: str = "next_text") -> Column:
