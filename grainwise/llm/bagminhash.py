@@ -266,6 +266,15 @@ def _joined(nodes: DataFrame, name: str, labels: DataFrame | None, out: str) ->
     return nodes.join(mine, name, "left").withColumn(out, F.coalesce("_label", name)).drop("_label")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links (a, b): components are joined on the far smaller graph between labels."""
+    ends = _joined(_joined(links.select("a", "b"), "a", labels, "x"), "b", labels, "y").filter("x <> y")
+    top = components(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    everyone = labels.union(top.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
+    higher = top.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return written(everyone.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id with the same text), is_kept."""
     prepare(docs.sparkSession)
@@ -279,15 +288,13 @@ def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
     buckets = written(entries.join(shared, "bucket").distinct())
 
     first = written(buckets.groupBy("node").agg(F.min("rep").alias("rep")).filter("rep < node").select(F.col("node").alias("a"), F.col("rep").alias("b")))
-    links = written(verified(first, texts, p))
-    labels = components(links)
+    labels = components(written(verified(first, texts, p)))
 
     # other representatives, for members that these may still join to something
     apart = _joined(_joined(buckets.filter("rep < node"), "node", labels, "x"), "rep", labels, "y").filter("x <> y")
     second = written(apart.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        links = links.union(written(verified(second, texts, p)))
-        labels = components(links)
+        labels = merged(labels, written(verified(second, texts, p)))
 
     # what differs from most of its family is held against every member of another component there
     across = _joined(_joined(buckets.filter("rep < node"), "node", labels, "x"), "rep", labels, "y").filter("x <> y")
@@ -304,6 +311,6 @@ def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
         dealt = query.unionByName(every).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "cut").sortWithinPartitions("family", "cut", "kind")
         third = written(dealt.mapInArrow(_comparer(p), "a long, b long, similarity double").distinct())
         if not third.isEmpty():
-            labels = components(links.union(third))
+            labels = merged(labels, third)
     classes = _joined(members.select("doc_id", "copy_of"), "copy_of", labels, "class_id")
     return classes.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "copy_of", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
