@@ -7,14 +7,15 @@ import re
 from ..plans import text
 
 # Aggregate functions known by the same name in Spark.
-SAME = "any_value approx_count_distinct approx_top_k array_agg avg bit_and bit_or bit_xor bool_and bool_or corr count count_if covar_pop covar_samp first kurtosis last listagg max max_by mean median min min_by mode percentile_cont percentile_disc regr_avgx regr_avgy regr_count regr_intercept regr_r2 regr_slope regr_sxx regr_sxy regr_syy skewness stddev stddev_pop stddev_samp string_agg sum var_pop var_samp variance"
+SAME = "any_value approx_count_distinct approx_top_k array_agg avg bit_and bit_or bit_xor bool_and bool_or corr count count_if covar_pop covar_samp first last listagg max max_by mean median min min_by mode percentile_cont percentile_disc regr_avgx regr_avgy regr_count regr_intercept regr_r2 regr_slope regr_sxx regr_sxy regr_syy stddev stddev_pop stddev_samp string_agg sum var_pop var_samp variance"
 # Other names, and Spark's.
 RENAMED = {
     "arg_max": "max_by", "argmax": "max_by", "arg_max_null": "max_by", "arg_min": "min_by", "argmin": "min_by", "arg_min_null": "min_by",
     "countif": "count_if", "group_concat": "string_agg", "list": "array_agg", "arbitrary": "any_value", "favg": "avg",
-    "fsum": "sum", "sumkahan": "sum", "kahan_sum": "sum", "sum_no_overflow": "sum",
+    "fsum": "sum", "sumkahan": "sum", "kahan_sum": "sum", "sum_no_overflow": "sum", "kurtosis_pop": "kurtosis",
 }
-#: Rewritten over their arguments.
+#: Rewritten over their arguments.  Spark's kurtosis and skewness are those of the population;
+#: here they are those of a sample.  A product is summed in logarithms, so that it needs no list.
 REWRITTEN = {
     "quantile": "percentile_disc({1}) WITHIN GROUP (ORDER BY {0})",
     "quantile_disc": "percentile_disc({1}) WITHIN GROUP (ORDER BY {0})",
@@ -22,9 +23,11 @@ REWRITTEN = {
     "approx_quantile": "approx_percentile({0}, {1})",
     "reservoir_quantile": "approx_percentile({0}, {1})",
     "sem": "(stddev_pop({0}) / sqrt(count({0})))",
-    "product": "aggregate(collect_list({0}), CAST(1 AS DOUBLE), (a, x) -> a * x)",
+    "product": "(CASE WHEN count_if(({0}) = 0) > 0 THEN 0D ELSE (1 - 2 * (count_if(({0}) < 0) % 2)) * exp(sum(ln(nullif(abs({0}), 0)))) END)",
+    "skewness": "(CASE WHEN count({0}) > 2 THEN sqrt(count({0}) * (count({0}) - 1D)) / (count({0}) - 2D) * skewness({0}) END)",
+    "kurtosis": "(CASE WHEN count({0}) > 3 THEN (count({0}) - 1D) / ((count({0}) - 2D) * (count({0}) - 3D)) * ((count({0}) + 1D) * kurtosis({0}) + 6D) END)",
 }
-UNSUPPORTED = frozenset({"bitstring_agg", "histogram", "histogram_exact", "kurtosis_pop", "mad", "entropy"})
+UNSUPPORTED = frozenset({"bitstring_agg", "histogram", "histogram_exact", "mad", "entropy"})
 NAMES = frozenset(SAME.split()) | frozenset(RENAMED) | frozenset(REWRITTEN) | UNSUPPORTED
 
 
@@ -32,17 +35,38 @@ def has_aggregate(expr: str) -> bool:
     return any(name.lower() in NAMES for name, _, _ in text.calls(expr))
 
 
+def _filtered(expr: str, end: int) -> tuple[str | None, int]:
+    """The condition of a FILTER (WHERE ...) right after a call that ends at ``end``, and where that ends."""
+    m = re.match(r"(?i)\s*filter\s*\(", expr[end + 1 :])
+    if m:
+        for _, a, b in text.calls(expr):
+            if a == end + 1 + m.end():
+                return re.sub(r"(?i)^\s*where\b", "", expr[a:b]).strip(), b
+    return None, end
+
+
 def to_spark(expr: str) -> str:
-    """The expression with Spark's names of aggregates."""
+    """The expression with Spark's names of aggregates; the FILTER of a rewritten one moves into its first argument."""
+    out, at = [], 0
     for name, a, b in text.calls(expr):
         low = name.lower()
+        if a < at:
+            continue  # within a call that is rewritten already
         if low in UNSUPPORTED:
             raise ValueError(f"Spark has no aggregate {name}")
+        start = expr.rindex(name, 0, a)
         if low in RENAMED:
-            return to_spark(expr[: a - 1 - len(name)].rstrip() + " " + RENAMED[low] + expr[a - 1 :]) if expr[a - 1] == "(" else expr
-        if low in REWRITTEN:
-            return to_spark(expr[: a - 1 - len(name)] + REWRITTEN[low].format(*text.split(expr[a:b])) + expr[b + 1 :])
-    return expr
+            out += [expr[at:start], RENAMED[low], "("]
+            at = a
+        elif low in REWRITTEN:
+            args = [to_spark(x) for x in text.split(expr[a:b])]
+            condition, end = _filtered(expr, b)
+            if condition is not None:
+                lead = re.match(r"(?is)(distinct\s+|all\s+)?", args[0]).group(0)
+                args[0] = f"{lead}CASE WHEN {to_spark(condition)} THEN {args[0][len(lead):]} END"
+            out += [expr[at:start], REWRITTEN[low].format(*args)]
+            at = end + 1
+    return "".join(out) + expr[at:]
 
 
 def guarded(expr: str, present: str) -> str:

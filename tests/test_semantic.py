@@ -112,6 +112,25 @@ def test_text_is_read_lexically():
     assert text.split("a, f(b, 'c,d'), \"e,f\"") == ["a", "f(b, 'c,d')", '"e,f"']
 
 
+def test_moments_are_those_of_the_sample(spark):
+    import duckdb
+
+    from grainwise.functions import aggregates
+
+    values = [1.0, 2.0, 2.0, 3.5, -4.0, 11.0, 6.0]
+    asked = ["kurtosis(x)", "kurtosis_pop(x)", "skewness(x)", "sem(x)", "product(x)", "quantile_cont(x, 0.3)", "fsum(x)", "skewness(x) FILTER (WHERE x > 0)", "kurtosis(x) FILTER (WHERE x > 5)", "round(kurtosis(x) + avg(x), 3)"]
+    spark.createDataFrame([(v,) for v in [*values, None]], "x double").createOrReplaceTempView("t_moments")
+    got = spark.sql("SELECT " + ", ".join(aggregates.to_spark(a) for a in asked) + " FROM t_moments").first()
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE t AS SELECT unnest([{', '.join(map(str, values))}, NULL]) AS x")
+    want = con.execute("SELECT " + ", ".join(asked) + " FROM t").fetchone()
+    for a, x, y in zip(asked, got, want, strict=True):
+        assert (x is None and y is None) or x == pytest.approx(float(y), rel=1e-9), a
+    for name in aggregates.UNSUPPORTED:
+        with pytest.raises(ValueError, match=name):
+            aggregates.to_spark(f"1 + {name}(x)")
+
+
 def test_registered_queries_answer(spark):
     import __spark_entry__ as entry
 
