@@ -51,6 +51,7 @@ class BagMinHash:
     queries_per_slice: int = 500
     sure: float = 4.5
     broadcast_rows: int = 1_000_000
+    edges_per_task: int = 5_000
 
     @property
     def registers(self) -> int:
@@ -189,10 +190,16 @@ def _verifier(p: BagMinHash):
 
 
 def _comparer(p: BagMinHash):
-    """Rows come sorted: the queries of a slice of a family (kind 0), then all its members; links between different labels."""
+    """Rows come sorted: the queries of a slice of a family (kind 0), then all its members; links between labels, none between labels that the slice has already joined."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, over = None, [], {}
+
+        def top(label: int) -> int:
+            while (above := over.get(label, label)) != label:
+                over[label] = label = over.get(above, above)
+            return label
+
         for rows in steps(batches):
             family, cut, kind, node, label = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("family", "cut", "kind", "node", "label"))
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, p.registers)
@@ -201,7 +208,7 @@ def _comparer(p: BagMinHash):
             found = []
             for i, j in zip([0, *edge], [*edge, len(node)], strict=True):
                 if (family[i], cut[i]) != now:
-                    now, held = (family[i], cut[i]), []
+                    now, held, over = (family[i], cut[i]), [], {}
                 if kind[i] == 0:
                     held.append((node[i:j], label[i:j], sketch[i:j], units[i:j]))
                 elif held:
@@ -211,8 +218,9 @@ def _comparer(p: BagMinHash):
                         to = min(j, at + 256)
                         equal = (sketch[at:to, None, :] == mine[None]).sum(axis=2)
                         for x, y in zip(*np.nonzero((equal >= p.least_equal) & (label[at:to, None] != marks[None])), strict=True):
-                            similarity = _similarity(units[at + x], bags[y])
-                            if similarity >= p.threshold:
+                            mine_top, other_top = top(marks[y]), top(label[at + x])
+                            if mine_top != other_top and (similarity := _similarity(units[at + x], bags[y])) >= p.threshold:
+                                over[mine_top] = other_top
                                 found.append((max(node[at + x], names[y]), min(node[at + x], names[y]), similarity))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(_EDGES)], schema=_EDGES)
 
@@ -232,47 +240,51 @@ def verified(pairs: DataFrame, texts: DataFrame, p: BagMinHash) -> DataFrame:
     and a stream of partners.
     """
     n = texts.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / p.members_per_slice).cast("int").alias("cuts"))
+    sizes = _small(written(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / p.members_per_slice).cast("int").alias("cuts"))), p)
     cut = F.pmod(F.xxhash64("a"), F.col("cuts")).cast("int")
-    partners = texts.select(F.col("doc_id").alias("a"), "text").join(_small(written(pairs.join(sizes, "b").select("a", F.col("b").alias("hub"), cut.alias("cut"))), p), "a")
-    hubs = texts.select(F.col("doc_id").alias("b"), "text").join(_small(written(sizes), p), "b").select(F.lit(None).cast("long").alias("a"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "text")
+    partners = texts.select(F.col("doc_id").alias("a"), "text").join(_small(pairs, p).join(sizes, "b").select("a", F.col("b").alias("hub"), cut.alias("cut")), "a")
+    hubs = texts.select(F.col("doc_id").alias("b"), "text").join(sizes, "b").select(F.lit(None).cast("long").alias("a"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "text")
     rows = hubs.select("hub", "cut", "a", "text").unionByName(partners.select("hub", "cut", "a", "text"))
     dealt = rows.repartition(int(n), "hub", "cut").sortWithinPartitions("hub", "cut", F.col("a").asc_nulls_first())
-    return dealt.mapInArrow(_verifier(p), "a long, b long, similarity double").distinct()
+    return dealt.mapInArrow(_verifier(p), "a long, b long, similarity double")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
     """(node, label): the smallest node of each connected component, for the nodes that have edges.
 
-    Each round takes the smallest label among neighbours, then the label's label; rounds
-    are written to the shared folder and end when no label changes.
+    Each round gives a node, and the node it points to, the smallest pointer among its
+    neighbours, after pointers have been followed once more, so chains end in few rounds.
+    Rounds are written to the shared folder and end when no pointer moves; their number of
+    tasks follows the number of edges.
     """
-    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct())
-    labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = written(edges.select(F.inline(ways)).distinct())
+    tasks = both.count() // p.edges_per_task + 1
+    labels = _small(written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")).coalesce(tasks)), p)
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        best = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("best"))
-        hop = labels.select(F.col("node").alias("best"), F.col("label").alias("hop"))
-        moved = written(best.join(hop, "best").select("node", F.least("best", "hop").alias("label"), (F.least("best", "hop") < F.col("label")).alias("changed")))
-        labels = moved.select("node", "label")
-        if moved.filter("changed").isEmpty():
+        follow = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        known = labels.join(follow, "label")
+        near = both.join(known.select(F.col("node").alias("other"), "far"), "other").groupBy("node").agg(F.min("far").alias("near")).coalesce(tasks)
+        told = near.join(known, "node")
+        claims = told.select("node", F.least("far", "near").alias("claim"), F.col("label").alias("old")).union(told.select("label", "near", F.lit(None).cast("long")))
+        moved = written(claims.groupBy("node").agg(F.min("claim").alias("label"), F.max("old").alias("old")).coalesce(tasks))
+        labels = _small(moved.select("node", "label"), p)
+        if moved.filter("label < old").isEmpty():
             return labels
 
 
-def _joined(nodes: DataFrame, name: str, labels: DataFrame | None, out: str) -> DataFrame:
-    if labels is None:
-        return nodes.withColumn(out, F.col(name))
+def _joined(nodes: DataFrame, name: str, labels: DataFrame, out: str) -> DataFrame:
     mine = labels.select(F.col("node").alias(name), F.col("label").alias("_label"))
     return nodes.join(mine, name, "left").withColumn(out, F.coalesce("_label", name)).drop("_label")
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
     """The labels after more links (a, b): components are joined on the far smaller graph between labels."""
     ends = _joined(_joined(links.select("a", "b"), "a", labels, "x"), "b", labels, "y").filter("x <> y")
-    top = components(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    top = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), p)
     everyone = labels.union(top.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
     higher = top.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    return written(everyone.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+    return _small(written(everyone.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label"))), p)
 
 
 def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
@@ -280,25 +292,25 @@ def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(texts.mapInArrow(_signer(p), "doc_id long, text_a long, text_b long, buckets array<long>, sketch binary"))
-    same = signed.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("copy_of"))
-    members = written(signed.join(same, ["text_a", "text_b"]).select("doc_id", "copy_of", F.when(F.col("doc_id") == F.col("copy_of"), F.col("buckets")).alias("buckets"), "sketch"))
+    copies = _small(written(signed.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")), p)
+    members = written(signed.join(copies, ["text_a", "text_b"], "left").withColumn("copy_of", F.coalesce("first", "doc_id")).select("doc_id", "copy_of", F.when(F.col("doc_id") == F.col("copy_of"), F.col("buckets")).alias("buckets"), "sketch"))
     sketches = members.filter("buckets is not null").select(F.col("doc_id").alias("node"), "sketch").dropDuplicates(["node"])
     entries = members.filter("buckets is not null").select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("node"))
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep < top").select("bucket", "rep")
-    buckets = written(entries.join(shared, "bucket").distinct())
+    shared = _small(written(entries.groupBy("bucket").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep < top").select("bucket", "rep")), p)
+    buckets = written(entries.join(shared, "bucket"))
 
     first = written(buckets.groupBy("node").agg(F.min("rep").alias("rep")).filter("rep < node").select(F.col("node").alias("a"), F.col("rep").alias("b")))
-    labels = components(written(verified(first, texts, p)))
+    labels = components(written(verified(first, texts, p)), p)
 
     # other representatives, for members that these may still join to something
     apart = _joined(_joined(buckets.filter("rep < node"), "node", labels, "x"), "rep", labels, "y").filter("x <> y")
     second = written(apart.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        labels = merged(labels, written(verified(second, texts, p)))
+        labels = merged(labels, written(verified(second, texts, p)), p)
 
     # what differs from most of its family is held against every member of another component there
     across = _joined(_joined(buckets.filter("rep < node"), "node", labels, "x"), "rep", labels, "y").filter("x <> y")
-    families = components(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("family"))
+    families = components(across.select(F.col("x").alias("a"), F.col("y").alias("b")), p).select(F.col("node").alias("label"), F.col("label").alias("family"))
     held = written(_joined(buckets.select("node").distinct(), "node", labels, "label").join(families, "label"))
     sizes = held.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("odd")).filter("odd > 0")
@@ -309,8 +321,8 @@ def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
         query = told.filter("label <> main").select("family", F.pmod(F.xxhash64("node"), "cuts").cast("int").alias("cut"), F.lit(0).alias("kind"), "node", "label", "sketch", "text")
         every = told.select("family", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(1).alias("kind"), "node", "label", "sketch", "text")
         dealt = query.unionByName(every).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "cut").sortWithinPartitions("family", "cut", "kind")
-        third = written(dealt.mapInArrow(_comparer(p), "a long, b long, similarity double").distinct())
+        third = written(dealt.mapInArrow(_comparer(p), "a long, b long, similarity double"))
         if not third.isEmpty():
-            labels = merged(labels, third)
+            labels = merged(labels, third, p)
     classes = _joined(members.select("doc_id", "copy_of"), "copy_of", labels, "class_id")
     return classes.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "copy_of", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
