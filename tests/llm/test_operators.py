@@ -251,3 +251,58 @@ def test_pipeline(spark, tmp_path, docs):
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     kept = set(out.doc_id)
     assert 61 not in kept and 7 not in kept and 3 in kept
+
+
+def test_suffix_tree_against_brute_force(spark):
+    """Evidence floors do not rise with the corpus, and contexts are as long as the test keeps them."""
+    rng = random.Random(5)
+    sentences = ["red fox ran over hill", "blue fox ran under hill", "old red fox ran into town", "a a a a a b", "a a a a a b"]
+    rows = [(i, " ".join(rng.choice(sentences) for _ in range(12)) + " w%d" % (i % 7)) for i in range(200)] + [(200, "never seen fox ran"), (201, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for frequent in (5e-7, 1.0):
+        q = suffix_tree.SuffixTree(least=3, entry=2, share=1.0, entry_share=1.0, frequent=frequent)
+        got = {r.doc_id: r for r in suffix_tree.train_and_score(docs, suffix_tree.F.col("doc_id") >= 150, q).collect()}
+        seqs = {i: ["$", *(t or "").split(), "$"] for i, t in rows}
+        train = [s for i, s in seqs.items() if i < 150]
+        uni = Counter(w for s in train for w in s[1:])
+        total = uni.total() + 0.1 * (len(uni) + 1)
+        states: dict = {}
+
+        def prob(ctx, w):
+            while ctx and ctx not in states:
+                ctx = ctx[1:]
+            if not ctx:
+                return (uni[w] + 0.1) / total
+            entries, left = states[ctx]
+            return entries[w] if w in entries else left * prob(ctx[1:], w)
+
+        d = 1
+        while True:
+            after: dict = {}
+            for s in train:
+                for i in range(d, len(s)):
+                    after.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
+            new = {}
+            for ctx, c in after.items():
+                kept, size = {w: n for w, n in c.items() if n >= 2}, c.total()
+                if size < 3 or not kept or d > 1 and ctx[1:] not in states:
+                    continue
+                below = {w: prob(ctx[1:], w) for w in kept}
+                rest, parent = size - sum(kept.values()), min(sum(below.values()), 1 - 1e-9)
+                gain = sum(n * math.log(n / size / below[w]) for w, n in kept.items()) + (rest * math.log(rest / size / (1 - parent)) if rest else 0)
+                if gain > 0.5 * len(kept) * math.log(size + 1):
+                    e = {w: (n + len(kept) * below[w]) / (size + len(kept)) for w, n in kept.items()}
+                    new[ctx] = (e, max(1 - sum(e.values()), 1e-12) / (1 - parent))
+            if not new:
+                break
+            states.update(new)
+            d += 1
+        assert d > 4  # how many "a" came before tells whether "b" follows
+        for i, s in seqs.items():
+            assert math.isclose(got[i].score, sum(math.log10(prob(tuple(s[:j]), s[j])) for j in range(1, len(s))), rel_tol=1e-6), i
+
+
+def test_suffix_tree_floors_are_numbers_of_sightings():
+    p = suffix_tree.SuffixTree()
+    assert p.floors(5 * 10**9) == p.floors(5 * 10**11) == (p.least, p.entry)
+    assert p.floors(10**5) == (1, 1)
