@@ -72,16 +72,22 @@ MAPPINGS = (
 )
 
 
+def parsed_as(record: Column, ddl: str) -> Column:
+    """A JSON text as the type; Spark's own limit of 20,000,000 characters a string is lifted, which its other JSON functions keep."""
+    return F.from_json(record, ddl, {"maxStringLen": str(2**31 - 1)})
+
+
 def schema_paths(record: Column) -> Column:
     """The sorted field paths of a JSON record, two levels deep, as one string."""
-    top = F.json_object_keys(record)
+    top = parsed_as(record, "map<string,string>")
 
-    def below(key: Column) -> Column:
-        value = F.call_function("get_json_object", record, F.concat(F.lit("$."), key, F.lit("[0]")))
-        inner = F.coalesce(F.json_object_keys(value), F.array().cast("array<string>"))
+    def below(key: Column, value: Column) -> Column:
+        first = F.get(parsed_as(F.when(F.startswith(F.ltrim(value), F.lit("[")), value), "array<map<string,string>>"), F.lit(0))
+        inner = F.coalesce(F.map_keys(first), F.array().cast("array<string>"))
         return F.transform(inner, lambda x: F.concat(key, F.lit("[]."), x))
 
-    return F.array_join(F.array_sort(F.array_distinct(F.concat(top, F.flatten(F.transform(top, below))))), "|")
+    nested = F.flatten(F.transform(F.map_entries(top), lambda e: below(e["key"], e["value"])))
+    return F.array_join(F.array_sort(F.array_distinct(F.concat(F.map_keys(top), nested))), "|")
 
 
 def fingerprint(paths: Column) -> Column:
@@ -98,7 +104,7 @@ def mapped(records: DataFrame, record: str = "record", mappings: tuple[Mapping,
     df = df.withColumn("mapping", mapping[F.col("schema_hash")])
     turns = F.lit(None).cast(TURN_TYPE)
     for m in mappings:
-        parsed = F.from_json(F.col(record), m.ddl())
+        parsed = parsed_as(F.col(record), m.ddl())
         if m.turns:
             made = _turns(parsed, m)
         else:

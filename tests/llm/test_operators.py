@@ -306,3 +306,11 @@ def test_suffix_tree_floors_are_numbers_of_sightings():
     p = suffix_tree.SuffixTree()
     assert p.floors(5 * 10**9) == p.floors(5 * 10**11) == (p.least, p.entry)
     assert p.floors(10**5) == (1, 1)
+
+
+def test_chat_keeps_a_very_long_text(spark):
+    long = chat_format.F.expr("repeat('x', 21000000)")
+    rows = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant")], "conv_id long, turn long, role string")
+    rows = rows.withColumn("text", chat_format.F.when(chat_format.F.col("turn") == 0, long).otherwise("short"))
+    made = chat_format.format_chats(chat_format.records_of(rows)).selectExpr("mapping", "length(formatted) n", "loss_spans").first()
+    assert made.mapping == "messages" and made.n == 21_000_000 + 5 + 2 * 16 + 4 + 9 and len(made.loss_spans) == 1
