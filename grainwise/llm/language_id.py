@@ -9,6 +9,9 @@ Three sources are combined for each page:
   towards the address suffix, that towards all pages.  These counts come from grouped
   aggregation of what text and markup say; a page's own share is taken out of its prior.
 
+Every language of ``documents`` is known, however few of them it has; its likelihoods are
+smoothed.  The likelihood table has a row of ``buckets`` numbers for each language.
+
 A host with very many pages is summed in partial aggregates and joined as one small row.
 
 Defined results: a null page or one without visible text is judged by markup and host
@@ -37,7 +40,6 @@ class LanguageId:
     temper: float = 0.25
     host_weight: float = 5.0  # pages that the wider level counts for
     markup_add: float = 1.0
-    least_share: float = 1e-4  # of training documents, for a language to be known
 
 
 def _trigrams(rows: pa.RecordBatch, column: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +107,8 @@ def identify(pages: DataFrame, documents: DataFrame, p: LanguageId = LanguageId(
     """page_id, language, probability, text_language, declared, host and the prior's probability of the answer."""
     spark = pages.sparkSession
     prepare(spark)
-    shares = documents.filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = shares.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    languages = sorted(r["lang"] for r in shares.filter(F.col("n") >= p.least_share * total).collect())  # at most 1/least_share
+    langs = documents.filter("lang is not null").select("lang").distinct()
+    languages = sorted(r["lang"] for r in langs.collect())  # every language that has documents
     schema = "page_id long, language string, probability double, text_language string, declared string, host string, prior double"
     if not languages:
         return pages.select(F.col("page_id").cast("long").alias("page_id"), *(F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in schema.split(", ")[1:])))
@@ -124,9 +125,10 @@ def identify(pages: DataFrame, documents: DataFrame, p: LanguageId = LanguageId(
     names = [f"p{i}" for i in range(size)]
     soft = judged.select("declared", *(F.col("text_p")[i].alias(n) for i, n in enumerate(names)))
     # what pages that declare a language are in: P(declared | language), over the known languages and "any other"
-    said = F.when(F.col("declared").isin(*languages), F.col("declared")).otherwise(F.when(F.col("declared") == "", F.lit("")).otherwise("?"))
+    named = [x for x in languages if x not in ("", "?")]
+    said = F.when(F.col("declared").isin(*named), F.col("declared")).otherwise(F.when(F.col("declared") == "", F.lit("")).otherwise("?"))
     by_said = {r["said"]: [r[n] for n in names] for r in soft.groupBy(said.alias("said")).agg(*(F.sum(n).alias(n) for n in names)).collect()}
-    keys = [*languages, "", "?"]
+    keys = [*named, "", "?"]
     table = np.array([by_said.get(k, [0.0] * size) for k in keys]) + p.markup_add
     table = np.log(table / table.sum(axis=0, keepdims=True))
     markup = F.create_map(*(x for i, k in enumerate(keys) for x in (F.lit(k), F.array(*(F.lit(float(v)) for v in table[i])))))

@@ -314,3 +314,11 @@ def test_chat_keeps_a_very_long_text(spark):
     rows = rows.withColumn("text", chat_format.F.when(chat_format.F.col("turn") == 0, long).otherwise("short"))
     made = chat_format.format_chats(chat_format.records_of(rows)).selectExpr("mapping", "length(formatted) n", "loss_spans").first()
     assert made.mapping == "messages" and made.n == 21_000_000 + 5 + 2 * 16 + 4 + 9 and len(made.loss_spans) == 1
+
+
+def test_language_of_few_documents_is_known(spark):
+    few = [(-1, "joki ja talo ja kuninkaan yö ja päivä", "fi"), (-2, "x", ""), (-3, "y", "?")]
+    docs = spark.range(30_000).selectExpr("id", "'the river and the house of the king' text", "'en' lang").union(spark.createDataFrame(few, "id long, text string, lang string"))
+    pages = [(1, None, "<p>kuninkaan talo ja joki ja kuninkaan päivä</p>" * 3), (2, None, "<p>the king of the river</p>")]
+    got = {r.page_id: r.language for r in language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert got == {1: "fi", 2: "en"}
