@@ -4,8 +4,9 @@ Words written around a filter (look-alike characters, letters spaced or dotted o
 stretched letters) form a lattice of what each character may stand for: itself, a letter
 it looks like, or nothing (a separator, a repeat).  A Viterbi search finds the reading
 with the highest product of channel and character-model probability; the character model
-is a trigram model of the letters of all documents.  Words without such marks have one
-reading, themselves, and skip the search.  The restored text's words and word beginnings
+is a trigram model of the letters of all documents.  Stretches are of any length: paths
+share their beginnings.  Words without such marks have one reading, themselves, and skip
+the search.  The restored text's words and word beginnings
 are then scored by a model learnt from labelled rows: each feature's rate of toxic
 documents (its lower confidence bound) is combined by noisy-or.
 
@@ -107,6 +108,8 @@ class Restorer:
     def __call__(self, stretch: str) -> str:
         got = self.known.get(stretch)
         if got is None:
+            if len(stretch) > 64:  # long ones seldom come again
+                return self.decode(stretch)
             if len(self.known) >= self.p.cache:
                 self.known.clear()
             got = self.known[stretch] = self.decode(stretch)
@@ -114,24 +117,29 @@ class Restorer:
 
     def decode(self, stretch: str) -> str:
         p, model = self.p, self.model
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}  # last two classes -> (ln P, reading)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # last two classes -> (ln P, (reading before, letter))
         for i, c in enumerate(stretch):
             readings = [(c, 0.0)] if "a" <= c <= "z" or c > "\x7f" and c.isalpha() else [(x, p.swap) for x in LOOKALIKES.get(c, "")]
             nothing = p.skip if c in SEPARATORS else (p.repeat if i and c == stretch[i - 1] else None)
             if not readings and nothing is None:
                 nothing = p.skip
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, text) in states.items():
                 row = model[a][b]
                 for x, cost in readings:
                     k = ord(x) - 96 if "a" <= x <= "z" else 27
                     s = score + cost + row[k]
                     if (b, k) not in new or new[b, k][0] < s:
-                        new[b, k] = (s, text + x)
+                        new[b, k] = (s, (text, x))
                 if nothing is not None and ((a, b) not in new or new[a, b][0] < score + nothing):
                     new[a, b] = (score + nothing, text)
             states = new
-        return max((s + model[a][b][0], text) for (a, b), (s, text) in states.items())[1]
+        _, _, text = max(((s + model[a][b][0], (a, b), text) for (a, b), (s, text) in states.items()), key=lambda x: x[:2])
+        out = []
+        while text:
+            text, x = text
+            out.append(x)
+        return "".join(reversed(out))
 
 
 def stretches(batch: Batch) -> list[tuple[int, int, int]]:
@@ -152,14 +160,14 @@ def stretches(batch: Batch) -> list[tuple[int, int, int]]:
         return sums[b] - sums[a]
 
     letters, looks_n, apart_n = per_word(letter), per_word(looks), per_word(apart)
-    odd = (letters > 0) & (b - a <= 64) & ((looks_n > 0) & (looks_n <= 2 * letters + 2) | (apart_n >= 2) & (2 * apart_n >= letters) | (per_word(same) > 0))
+    odd = (letters > 0) & ((looks_n > 0) & (looks_n <= 2 * letters + 2) | (apart_n >= 2) & (2 * apart_n >= letters) | (per_word(same) > 0))
     doc = batch.doc
     found = [(int(doc[i]), int(a[i]), int(b[i])) for i in np.flatnonzero(odd)]
     single = (b - a == 1) & (letter[a] | _DIGIT[data[a]] | _SYMBOL[data[a]])
     edge = np.diff(np.concatenate([[False], single, [False]]).astype(np.int8))
     for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
         cuts = [i, *(np.flatnonzero(doc[i + 1 : j] != doc[i : j - 1]) + i + 1), j]
-        found += [(int(doc[x]), int(a[x]), int(b[y - 1])) for x, y in zip(cuts, cuts[1:], strict=False) if y - x >= 3 and b[y - 1] - a[x] <= 64]
+        found += [(int(doc[x]), int(a[x]), int(b[y - 1])) for x, y in zip(cuts, cuts[1:], strict=False) if y - x >= 3]
     return found
 
 

@@ -322,3 +322,24 @@ def test_language_of_few_documents_is_known(spark):
     pages = [(1, None, "<p>kuninkaan talo ja joki ja kuninkaan päivä</p>" * 3), (2, None, "<p>the king of the river</p>")]
     got = {r.page_id: r.language for r in language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
     assert got == {1: "fi", 2: "en"}
+
+
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    rng = random.Random(4)
+    plain = ["garden", "river", "letter", "window", "paper", "stone", "market", "winter", "you", "are"]
+    rows = [(i, " ".join(["wretch" if i % 4 == 0 and k == 3 else rng.choice(plain) for k in range(12)]), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), suffix_tree.F.lit(True))
+
+
+def scores(spark, model, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.score for r in sorted(toxicity.score(df, model).collect())]
+
+
+def test_toxicity_of_long_stretches(spark, toxic_model):
+    texts = ["wr" + "e" * 70 + "tch", "wretch" + "h" * 100_000, "wr3" + "t" * 80 + "ch"]
+    assert min(scores(spark, toxic_model, texts)) >= 0.7
+    restored = toxicity.Restorer(toxic_model.letters, toxicity.Toxicity())(" ".join("wretch" * 40))
+    assert restored == "wretch" * 40
