@@ -5,8 +5,8 @@ stretched letters) form a lattice of what each character may stand for: itself,
 it looks like, or nothing (a separator, a repeat).  A Viterbi search finds the reading
 with the highest product of channel and character-model probability; the character model
 is a trigram model of the letters of all documents.  Stretches are of any length: paths
-share their beginnings.  Words without such marks have one reading, themselves, and skip
-the search.  The restored text's words and word beginnings
+share their beginnings.  Words without any such mark have one reading, themselves, and skip
+the search; so do numbers, words of digits and separators alone.  The restored text's words and word beginnings
 are then scored by a model learnt from labelled rows: each feature's rate of toxic
 documents (its lower confidence bound) is combined by noisy-or.
 
@@ -35,6 +35,7 @@ from ._words import SPACE, U64, Batch, _range_sums, _BYTE, lower_ascii, mix, ste
 # Letters that a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "#": "h"}
 SEPARATORS = " .-_*'~^,/\\"
+PUNCTUATION = "!|(<#+"  # look-alikes that may also mean nothing
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,7 @@ class Toxicity:
     swap: float = np.log(0.15)  # a look-alike for its letter
     skip: float = np.log(0.2)  # a separator within a word
     repeat: float = np.log(0.3)  # a letter written again
+    boundaries: tuple[float, ...] = (np.log(0.2), 0.0)  # a separator between words; there is a reading for each, and one without
     cache: int = 200_000
 
 
@@ -100,29 +102,34 @@ def letter_model(texts: DataFrame) -> np.ndarray:
 
 
 class Restorer:
-    """Viterbi decoding of a stretch of characters."""
+    """Viterbi decoding of a stretch of characters: its different readings, with a space between."""
 
     def __init__(self, model: np.ndarray, p: Toxicity):
-        self.model, self.p, self.known = model.tolist(), p, {}
+        self.source, self.model, self.p, self.known = model, model.tolist(), p, {}
 
     def __call__(self, stretch: str) -> str:
         got = self.known.get(stretch)
         if got is None:
             if len(stretch) > 64:  # long ones seldom come again
-                return self.decode(stretch)
+                return self.readings(stretch)
             if len(self.known) >= self.p.cache:
                 self.known.clear()
-            got = self.known[stretch] = self.decode(stretch)
+            got = self.known[stretch] = self.readings(stretch)
         return got
 
-    def decode(self, stretch: str) -> str:
+    def readings(self, stretch: str) -> str:
+        apart = any(c in SEPARATORS or c.isspace() for c in stretch)
+        return " ".join(dict.fromkeys(self.decode(stretch, x) for x in (None, *(self.p.boundaries if apart else ()))))
+
+    def decode(self, stretch: str, boundary: float | None = None) -> str:
         p, model = self.p, self.model
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # last two classes -> (ln P, (reading before, letter))
         for i, c in enumerate(stretch):
             readings = [(c, 0.0)] if "a" <= c <= "z" or c > "\x7f" and c.isalpha() else [(x, p.swap) for x in LOOKALIKES.get(c, "")]
             nothing = p.skip if c in SEPARATORS else (p.repeat if i and c == stretch[i - 1] else None)
-            if not readings and nothing is None:
+            if not readings and nothing is None or c in PUNCTUATION:
                 nothing = p.skip
+            ends = boundary is not None and (c in SEPARATORS or c.isspace())
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, text) in states.items():
                 row = model[a][b]
@@ -131,6 +138,10 @@ class Restorer:
                     s = score + cost + row[k]
                     if (b, k) not in new or new[b, k][0] < s:
                         new[b, k] = (s, (text, x))
+                if ends and b:
+                    s = score + boundary + row[0]
+                    if (0, 0) not in new or new[0, 0][0] < s:
+                        new[0, 0] = (s, (text, " "))
                 if nothing is not None and ((a, b) not in new or new[a, b][0] < score + nothing):
                     new[a, b] = (score + nothing, text)
             states = new
@@ -148,19 +159,24 @@ def stretches(batch: Batch) -> list[tuple[int, int, int]]:
     if not len(a):
         return []
     letter = (_CLASS[data] > 0) & (data < 0xC0) | (data >= 0x80)
-    inside = np.zeros(len(data) + 1, bool)
-    following = np.append(letter[1:], False)
-    looks = _DIGIT[data] | (_SYMBOL[data] & following)
-    apart = _APART[data] & following & np.insert(letter[:-1], 0, False)
+    symbol = _SYMBOL[data]
+    mark = letter | _DIGIT[data] | symbol
+    apart = np.flatnonzero(_APART[data])
+    word = np.searchsorted(a, apart, "right") - 1
+    marks = np.concatenate([[0], np.cumsum(mark)])
+    within = (word >= 0) & (apart < b[word])
+    apart, word = apart[within], word[within]
+    apart_n = np.bincount(word[(marks[apart] > marks[a[word]]) & (marks[b[word]] > marks[apart])], minlength=len(a))
     same = np.zeros(len(data), bool)
-    same[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] < 0x80)
+    same[1:] = letter[1:] & (data[1:] == data[:-1]) & (data[1:] < 0x80)
+    same[a] = False
 
     def per_word(x: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(x)])
         return sums[b] - sums[a]
 
-    letters, looks_n, apart_n = per_word(letter), per_word(looks), per_word(apart)
-    odd = (letters > 0) & ((looks_n > 0) & (looks_n <= 2 * letters + 2) | (apart_n >= 2) & (2 * apart_n >= letters) | (per_word(same) > 0))
+    letters, symbols = per_word(letter), per_word(symbol)
+    odd = (letters > 0) & ((per_word(_DIGIT[data] | symbol) > 0) | (apart_n > 0) | (per_word(same) > 0)) | (symbols > 0) & (per_word(mark) > 2)
     doc = batch.doc
     found = [(int(doc[i]), int(a[i]), int(b[i])) for i in np.flatnonzero(odd)]
     single = (b - a == 1) & (letter[a] | _DIGIT[data[a]] | _SYMBOL[data[a]])
@@ -171,6 +187,16 @@ def stretches(batch: Batch) -> list[tuple[int, int, int]]:
     return found
 
 
+_last: list[Restorer] = []
+
+
+def restorer_of(model: np.ndarray, p: Toxicity) -> Restorer:
+    """The worker's restorer for this model, with what it has read before."""
+    if not _last or _last[0].source is not model or _last[0].p != p:
+        _last[:] = [Restorer(model, p)]
+    return _last[0]
+
+
 def features(rows: pa.RecordBatch, restorer: Restorer, p: Toxicity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, word) of the restored texts: words themselves, and beginnings of words."""
     data, offsets = text_bytes(rows.column("text"))
@@ -197,7 +223,7 @@ def _pairs(shared, p: Toxicity):
     schema = pa.schema([("feature", pa.int64()), ("toxic", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value, p)
+        restorer = restorer_of(shared.value, p)
         for rows in steps(batches):
             doc, f, _ = features(rows, restorer, p)
             order = np.lexsort((f, doc))
@@ -212,7 +238,7 @@ def _pairs(shared, p: Toxicity):
 def _score(shared, p: Toxicity, names: list[str]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, weight, base = shared.value
-        restorer = Restorer(model, p)
+        restorer = restorer_of(model, p)
         for rows in steps(batches):
             score = np.zeros(rows.num_rows)
             if len(known):

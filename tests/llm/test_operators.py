@@ -341,5 +341,13 @@ def scores(spark, model, texts):
 def test_toxicity_of_long_stretches(spark, toxic_model):
     texts = ["wr" + "e" * 70 + "tch", "wretch" + "h" * 100_000, "wr3" + "t" * 80 + "ch"]
     assert min(scores(spark, toxic_model, texts)) >= 0.7
-    restored = toxicity.Restorer(toxic_model.letters, toxicity.Toxicity())(" ".join("wretch" * 40))
+    restored = toxicity.Restorer(toxic_model.letters, toxicity.Toxicity()).decode(" ".join("wretch" * 40))
     assert restored == "wretch" * 40
+
+
+def test_toxicity_of_single_marks_and_spaced_words(spark, toxic_model):
+    texts = ["a wr.etch", "wr..e..t..c..h", "wr-etch", "wwrreettcchh", "wwretch", "you are a w r e t c h", "y o u a r e w r e t c h", " ".join("youarewretch" * 12)]
+    assert min(scores(spark, toxic_model, texts)) >= 0.7
+    assert max(scores(spark, toxic_model, ["a letter, paper!", "1,000 2,000", "stone-market"])) < 0.7
+    found = toxicity.stretches(toxicity.Batch(*toxicity.text_bytes(toxicity.pa.array(["a$$ @$$ i..d 12,5 plain 2024-01-01 hello"]))))
+    assert [(a, b) for _, a, b in found] == [(0, 3), (4, 7), (8, 12), (35, 40)]
