@@ -1,4 +1,4 @@
-"""Removal of repeated passages by seed and extend.
+"""Removal of repeated passages by windows around seeds.
 
 Of documents with one text the first is taken for all; a later one loses every word that
 lies in a window, that is all of them if it is as long as one.
@@ -7,12 +7,11 @@ A window is ``threshold`` consecutive words.  Seeds: of each window's runs of ``
 words the one with the smallest hash (the first of equals) is the window's anchor; equal
 windows hence have equal anchors at equal places, and about one run in five is an anchor.
 Documents are joined on anchors: an anchor that only one text has can't lie in a repeat
-and is dropped.  Extend: from every anchor that is left, the match grows both ways,
-word by word, over all windows that chose this anchor; a stretch is met again elsewhere
-exactly if its 128-bit content is, so extensions are joined on content and not pair by
-pair, and a passage that thousands of documents share costs a row for each place instead
-of a row for each two places.  Overlapping extensions that an earlier document (smaller
-doc_id) also has merge into maximal repeats; their words are removed.
+and is dropped.  Instead of extending matches word by word, every window that chose one of
+the anchors left is joined by the 128-bit hash of its content, so a passage that thousands
+of documents share costs a row for each place instead of a row for each two places.  The
+words of windows that an earlier document (smaller doc_id) also has are removed; maximal
+repeats are not returned, only their words' counts and the text without them.
 
 Defined results: a null text has no words; a document with fewer than ``threshold`` words
 loses nothing; rows with one doc_id are one source (they take nothing from each other, and
