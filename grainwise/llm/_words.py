@@ -5,10 +5,16 @@ and hashes of word windows are computed for the whole batch with numpy, so no
 operator loops over words in Python.  Words are ``[^\\x20\\x09-\\x0D]+``; a null text
 has no words.  Hashes are functions of content alone (fixed constants), hence equal
 on every executor, at every batch size and after any recomputation.
+
+A word's hash chains its bytes, eight at a time, through a bijective mixer, so it is not
+linear in any of them; words of eight bytes or fewer have different hashes if they have one
+length.  Longer runs of words are hashed from the hashes of their halves, again through the
+mixer.  Long words and whole texts take BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,28 +22,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE, _WORD_BASES = U64(0x9E3779B97F4A7C13), (U64(0xC2B2AE3D27D4EB4B), U64(0xD6E8FEB86659FD93))
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_SEEDS = (U64(0x9E3779B97F4A7C13), U64(0xC2B2AE3D27D4EB4B))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+
+#: Bytes of a word that are chained; a longer word is hashed as a whole.
+_CHAINED = 128
 
 #: Bytes of text that one step of an operator works on (a longer document is one step).
 STEP_BYTES = 2 << 20
 
 
-def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and of its inverse."""
-    got = _powers.get(int(base))
-    if got is None or len(got[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = U64(pow(int(base), -1, 2**64))
-        got = tuple(np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (base, inverse))
-        if size <= 4 * STEP_BYTES:
-            _powers[int(base)] = got
-    return got[0][:n], got[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit integers."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -45,12 +41,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _range_sums(values: np.ndarray, base: np.uint64, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each pair, whatever the position."""
-    power, inverse = _power(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+def joined_hash(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of two runs in a row from those of each."""
+    return mix(first * U64(0x9E3779B97F4A7C15) + (last ^ (last >> U64(29))) * U64(0xC2B2AE3D27D4EB4F) + U64(0x165667B19E3779F9))
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """At each byte, it and the next seven as one number (zeros after the end); a view that overlaps itself."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def _words_hash(data: np.ndarray, lane: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    n = ends - starts
+    h = mix((lane[starts] & _KEEP[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * U64(0xA24BAED4963EE407) + _SEEDS[which]))
+    longer = np.flatnonzero((n > 8) & (n <= _CHAINED))
+    at = 8
+    while len(longer):
+        rest = n[longer] - at
+        h[longer] = mix((h[longer] * U64(0x9FB21C651E98DF25)) ^ (lane[starts[longer] + at] & _KEEP[np.minimum(rest, 8)]))
+        at += 8
+        longer = longer[rest > 8]
+    for i in np.flatnonzero(n > _CHAINED):
+        h[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), "<u8")[which]
+    return h
 
 
 class Batch:
@@ -69,32 +84,66 @@ class Batch:
         self.starts, self.ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
-        self._hash = None
+        self._lanes: np.ndarray | None = None
+        self._hashes: dict[int, np.ndarray] = {}
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.counts)
 
+    @property
+    def lanes(self) -> np.ndarray:
+        if self._lanes is None:
+            self._lanes = lanes(self.data)
+        return self._lanes
+
     @property
     def word_hash(self) -> np.ndarray:
-        if self._hash is None:
-            self._hash = _range_sums(_BYTE[self.data], _BASE, self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64)
-        return self._hash
+        return self.words_hash(0)
+
+    def words_hash(self, which: int) -> np.ndarray:
+        """The first or the second hash of each word; the two are made apart."""
+        if which not in self._hashes:
+            self._hashes[which] = _words_hash(self.data, self.lanes, self.starts, self.ends, which)
+        return self._hashes[which]
+
+    def beginnings_hash(self, starts: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n <= 8 bytes from each start."""
+        return mix((self.lanes[starts] & _KEEP[n]) ^ U64(n * 0xD6E8FEB86659FD93 % 2**64))
 
     def text_hash(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits for each whole text, as two signed arrays."""
-        values, a, b = _BYTE[self.data], self.offsets[:-1], self.offsets[1:]
-        return tuple((_range_sums(values, base, a, b) + (b - a).astype(np.uint64)).view(np.int64) for base in _WORD_BASES)
+        raw, at = self.data.tobytes(), self.offsets.tolist()
+        digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at, at[1:], strict=False))
+        both = np.frombuffer(digests, "<i8").reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
+    def runs_hash(self, k: int, which: int = 0) -> np.ndarray:
+        """Hash of each run of k words, from the hashes of shorter runs; documents are not looked at."""
+        size, run = 1, self.words_hash(which)
+        done, out = 0, None
+        while True:
+            if k & size:
+                part = run[done:] if done else run
+                out = part if out is None else joined_hash(out[: len(part)], part[: len(out)])
+                done += size
+            if done == k:
+                return out[: max(len(self.starts) - k + 1, 0)]
+            run, size = joined_hash(run[:-size], run[size:]) if len(run) > size else run[:0], 2 * size
 
     def windows(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of each run of k words within one document."""
         n = np.maximum(self.counts - k + 1, 0)
         at = np.repeat(self.first[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return at, _range_sums(self.word_hash, _WORD_BASES[which], at, at + k)
-
-    def spans_hash(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hash of the words a to b of each pair."""
-        return _range_sums(self.word_hash, _WORD_BASES[which], a, b)
+        return at, self.runs_hash(k, which)[at]
+
+    def whole_hash(self, docs: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hash of all words of each of the given documents, which have few words each."""
+        out = np.zeros(len(docs), np.uint64)
+        for k in np.unique(self.counts[docs]):
+            use = self.counts[docs] == k
+            out[use] = self.runs_hash(int(k), which)[self.first[docs[use]]]
+        return out
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -70,7 +70,7 @@ def shingles(batch: Batch, words: int) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(batch.n_docs), np.maximum(batch.counts - words + 1, 0))
     if len(short):
         doc = np.concatenate([doc, short])
-        h = np.concatenate([h, batch.spans_hash(batch.first[short], batch.first[short + 1])])
+        h = np.concatenate([h, batch.whole_hash(short)])
     return doc, h
 
 

@@ -24,13 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import prepare
-from ._words import SPACE, U64, Batch, _range_sums, _BYTE, lower_ascii, mix, steps, text_bytes
+from ._words import U64, Batch, lower_ascii, mix, steps, text_bytes
 
 # Letters that a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "#": "h"}
@@ -212,7 +211,7 @@ def features(rows: pa.RecordBatch, restorer: Restorer, p: Toxicity) -> tuple[np.
         for k in (0, *p.prefixes):
             use = slice(None) if k == 0 else batch.ends - batch.starts >= k
             a = batch.starts[use]
-            h = batch.word_hash if k == 0 else _range_sums(_BYTE[raw], U64(0x9E3779B97F4A7C13), a, a + k)
+            h = batch.word_hash if k == 0 else batch.beginnings_hash(a, k)
             docs.append(doc[use])
             words.append(batch.word_hash[use].view(np.int64))
             found.append(mix(h + U64(k * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64))
