@@ -145,7 +145,7 @@ def test_decontamination(spark, docs, empty):
         w = find(t)
         for s in range(len(w) - min(10, len(w)) + 1 if w else 0):
             windows.setdefault(tuple(w[s : s + min(10, len(w))]), set()).add(item)
-    for p in (decontamination.Decontamination(), decontamination.Decontamination(broadcast_windows=0)):
+    for p in (decontamination.Decontamination(), decontamination.Decontamination(broadcast_bytes=4000)):
         got = {r.doc_id: r for r in decontamination.decontaminate(docs, benchmark, p).collect()}
         for i, t in rows:
             w, hit, named = find(t), set(), set()
