@@ -13,16 +13,20 @@ about one draw a shingle plus a fixed number a document.
 Registers are banded; members of a bucket are compared exactly (shingle multisets of the
 texts) with one representative each, then with other buckets' representatives.  Documents
 that are connected through buckets form a family, and what still lies in another component
-than most of its family is a query against all members of the other components there:
-inside the tasks, in blocks, registers are compared first, and texts exactly where
-registers agree so often that the threshold is within ``sure`` standard errors.  So no
-pairs of a bucket are spelled out, and each pair of different texts that shares a bucket and
-reaches the threshold ends in one class, while copies never become pairs: equal texts are
-one node from the start.
+than most of its family is a query against all members of the other components there: the
+queries and the members are dealt into a grid of cells, each a block of queries and a block
+of members, and in a cell registers are compared first, and texts exactly where registers
+agree so often that the threshold is within ``sure`` standard errors.  So no pairs of a
+bucket are spelled out, no task gets more of a family than a cell, and each pair of different
+texts that shares a bucket and reaches the threshold ends in one class, while copies never
+become pairs: texts with equal 128-bit BLAKE2b digests are one node from the start.  A family
+of n members of which q are apart costs n x q / members_per_cell copies of a query's text
+and n x q / queries_per_cell copies of a member's.
 
 Defined results: a null text is the empty text; texts without words equal only their own
-copies; rows with a null ``doc_id`` get a null class and take part in nothing; rows that
-share a ``doc_id`` are one document, linked if any of its texts is.
+copies; rows with a null ``doc_id`` get a null class and take part in nothing (``kept_rows``
+gives them ids of their own); rows that share a ``doc_id`` are one node for the texts that
+it is the first to have, and go with an earlier one for the others; an empty table gives no rows; ties go to the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import prepare, written
+from ._spark import as_row, prepare, row_columns, tidy, written
 from ._words import U64, Batch, list_array, mix, steps, text_bytes
 
 
@@ -48,9 +52,10 @@ class BagMinHash:
     bands: int = 24
     rows: int = 4
     members_per_slice: int = 2000
-    queries_per_slice: int = 500
+    queries_per_cell: int = 250
+    members_per_cell: int = 500
     sure: float = 4.5
-    broadcast_rows: int = 1_000_000
+    broadcast_bytes: int = 16 << 20
     edges_per_task: int = 5_000
 
     @property
@@ -126,7 +131,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_a", pa.int64()), ("text_b", pa.int64()), ("buckets", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("text_a", pa.int64()), ("text_b", pa.int64()), ("buckets", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def _signer(p: BagMinHash):
@@ -139,7 +144,7 @@ def _signer(p: BagMinHash):
             bucket = mix(np.arange(p.bands, dtype=np.uint64) + U64(1)) + np.zeros((batch.n_docs, 1), np.uint64)
             for r in range(p.rows):
                 bucket = mix(bucket ^ bits[:, :, r])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(a), pa.array(b), list_array(bucket[has].view(np.int64).reshape(-1), has * p.bands, pa.int64()), pa.array([x.tobytes() for x in mix(reg.view(np.uint64)).astype(np.uint8)], pa.binary())], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(a), pa.array(b), list_array(bucket[has].view(np.int64).reshape(-1), has * p.bands, pa.int64()), pa.array([x.tobytes() for x in mix(reg.view(np.uint64)).astype(np.uint8)], pa.binary())], schema=_SIGNED)
 
     return sign
 
@@ -190,7 +195,7 @@ def _verifier(p: BagMinHash):
 
 
 def _comparer(p: BagMinHash):
-    """Rows come sorted: the queries of a slice of a family (kind 0), then all its members; links between labels, none between labels that the slice has already joined."""
+    """Rows come sorted: the queries of a cell of a family (kind 0), then its members; links between labels, none between labels that the cell has already joined."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, over = None, [], {}
@@ -201,14 +206,14 @@ def _comparer(p: BagMinHash):
             return label
 
         for rows in steps(batches):
-            family, cut, kind, node, label = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("family", "cut", "kind", "node", "label"))
+            family, cut, block, kind, node, label = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("family", "cut", "block", "kind", "node", "label"))
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, p.registers)
             units = _units(Batch(*text_bytes(rows.column("text"))), p.words)
-            edge = np.flatnonzero((np.diff(family) != 0) | (np.diff(cut) != 0) | (np.diff(kind) != 0)) + 1
+            edge = np.flatnonzero((np.diff(family) != 0) | (np.diff(cut) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
             found = []
             for i, j in zip([0, *edge], [*edge, len(node)], strict=True):
-                if (family[i], cut[i]) != now:
-                    now, held, over = (family[i], cut[i]), [], {}
+                if (family[i], cut[i], block[i]) != now:
+                    now, held, over = (family[i], cut[i], block[i]), [], {}
                 if kind[i] == 0:
                     held.append((node[i:j], label[i:j], sketch[i:j], units[i:j]))
                 elif held:
@@ -228,8 +233,8 @@ def _comparer(p: BagMinHash):
 
 
 def _small(df: DataFrame, p: BagMinHash) -> DataFrame:
-    """The table marked for broadcast if it has at most ``broadcast_rows`` rows of a few numbers, else for any join."""
-    return F.broadcast(df) if df.count() <= p.broadcast_rows else df
+    """The table, whose columns are numbers, marked for broadcast if its rows take at most ``broadcast_bytes``, else for any join."""
+    return F.broadcast(df) if df.count() * (16 + 8 * len(df.columns)) <= p.broadcast_bytes else df
 
 
 def verified(pairs: DataFrame, texts: DataFrame, p: BagMinHash) -> DataFrame:
@@ -287,14 +292,15 @@ def merged(labels: DataFrame, links: DataFrame, p: BagMinHash = BagMinHash()) ->
     return _small(written(everyone.join(higher, "label", "left").select("node", F.coalesce("top", "label").alias("label"))), p)
 
 
+@tidy
 def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id with the same text), is_kept."""
     prepare(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(texts.mapInArrow(_signer(p), "doc_id long, text_a long, text_b long, buckets array<long>, sketch binary"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    signed = written(texts.mapInArrow(_signer(p), "doc_id long, text_key long, text_a long, text_b long, buckets array<long>, sketch binary"))
     copies = _small(written(signed.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")), p)
-    members = written(signed.join(copies, ["text_a", "text_b"], "left").withColumn("copy_of", F.coalesce("first", "doc_id")).select("doc_id", "copy_of", F.when(F.col("doc_id") == F.col("copy_of"), F.col("buckets")).alias("buckets"), "sketch"))
-    sketches = members.filter("buckets is not null").select(F.col("doc_id").alias("node"), "sketch").dropDuplicates(["node"])
+    members = written(signed.join(copies, ["text_a", "text_b"], "left").withColumn("copy_of", F.coalesce("first", "doc_id")).select("doc_id", "text_key", "copy_of", F.when(F.col("doc_id") == F.col("copy_of"), F.col("buckets")).alias("buckets"), "sketch"))
+    sketches = members.filter("buckets is not null").select(F.col("doc_id").alias("node"), "text_key", "sketch").dropDuplicates(["node", "text_key"])
     entries = members.filter("buckets is not null").select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("node"))
     shared = _small(written(entries.groupBy("bucket").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep < top").select("bucket", "rep")), p)
     buckets = written(entries.join(shared, "bucket"))
@@ -313,16 +319,31 @@ def near_duplicates(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
     families = components(across.select(F.col("x").alias("a"), F.col("y").alias("b")), p).select(F.col("node").alias("label"), F.col("label").alias("family"))
     held = written(_joined(buckets.select("node").distinct(), "node", labels, "label").join(families, "label"))
     sizes = held.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("odd")).filter("odd > 0")
-    mixed = written(held.join(main.select("family", "main", F.ceil(F.col("odd") / p.queries_per_slice).cast("int").alias("cuts")), "family"))
+    main = sizes.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("odd"), F.sum("n").alias("size")).filter("odd > 0")
+    grid = main.select("family", "main", F.ceil(F.col("odd") / p.queries_per_cell).cast("int").alias("cuts"), F.ceil(F.col("size") / p.members_per_cell).cast("int").alias("blocks"))
+    mixed = written(held.join(grid, "family"))
     if not mixed.isEmpty():
-        told = texts.select(F.col("doc_id").alias("node"), "text").join(_small(mixed, p), "node")
-        told = told.join(sketches, "node")
-        query = told.filter("label <> main").select("family", F.pmod(F.xxhash64("node"), "cuts").cast("int").alias("cut"), F.lit(0).alias("kind"), "node", "label", "sketch", "text")
-        every = told.select("family", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(1).alias("kind"), "node", "label", "sketch", "text")
-        dealt = query.unionByName(every).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "cut").sortWithinPartitions("family", "cut", "kind")
+        told = texts.select(F.col("doc_id").alias("node"), "text", "text_key").join(_small(mixed, p), "node").join(sketches, ["node", "text_key"])
+        place = F.xxhash64("node", F.lit("cell"))
+        cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        columns = ["family", "cut", "block", "kind", "node", "label", "sketch", "text"]
+        query = told.filter("label <> main").withColumns({"cut": F.pmod(place, "cuts").cast("int"), "kind": F.lit(0)}).withColumn("block", cells("blocks")).select(*columns)
+        every = told.withColumns({"block": F.pmod(place, "blocks").cast("int"), "kind": F.lit(1)}).withColumn("cut", cells("cuts")).select(*columns)
+        dealt = query.unionByName(every).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "cut", "block").sortWithinPartitions("family", "cut", "block", "kind")
         third = written(dealt.mapInArrow(_comparer(p), "a long, b long, similarity double"))
         if not third.isEmpty():
             labels = merged(labels, third, p)
-    classes = _joined(members.select("doc_id", "copy_of"), "copy_of", labels, "class_id")
-    return classes.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "copy_of", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
+    classes = _joined(members.select("doc_id", "text_key", "copy_of"), "copy_of", labels, "class_id")
+    return classes.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "copy_of", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"), "text_key")
+
+
+@tidy
+def kept_rows(docs: DataFrame, p: BagMinHash = BagMinHash()) -> DataFrame:
+    """One row of each class of ``docs``, with all its columns; rows without a doc_id come after all others, and repeated rows are one."""
+    prepare(docs.sparkSession)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(key, F.lit(1 << 61)))
+    judged = near_duplicates(docs.select(own.alias("doc_id"), "text"), p)
+    kept = judged.filter("is_kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    rows = docs.select(as_row(docs), own.alias("_id"), key.alias("_key")).join(kept, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
+    return rows.select(*row_columns(docs))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import prepare
+from ._spark import as_row, prepare, row_columns
 from ._words import U64, Batch, lower_ascii, mix, steps, text_bytes
 
 # Letters that a character may stand for.
@@ -234,7 +234,9 @@ def _pairs(shared, p: Toxicity):
     return emit
 
 
-def _score(shared, p: Toxicity, names: list[str]):
+def _score(shared, p: Toxicity, kept: list[str]):
+    """The columns ``kept`` of (row, text) with the score of the text."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, weight, base = shared.value
         restorer = restorer_of(model, p)
@@ -251,7 +253,7 @@ def _score(shared, p: Toxicity, names: list[str]):
                     new = np.ones(len(doc), bool)
                     new[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
                     score = np.bincount(doc[new], w[new], rows.num_rows)
-            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(1 - (1 - base) * np.exp(score))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(1 - (1 - base) * np.exp(score))], names=[*kept, "score"])
 
     return emit
 
@@ -294,9 +296,21 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, p: Toxicity = Toxicity(
     return Model(letters, known, weight, float(base))
 
 
-def score(docs: DataFrame, model: Model, p: Toxicity = Toxicity(), keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of each row (doc_id by default) with its score in [0, 1]."""
-    keep = keep or ["doc_id"]
+def _scored(docs: DataFrame, model: Model, p: Toxicity, columns: list[str], with_text: bool) -> DataFrame:
+    """(row, text if asked for, score): the named columns as a struct, which nothing can clash with."""
     shared = docs.sparkSession.sparkContext.broadcast((model.letters, model.known, model.weight, model.base))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["score double"])
-    return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(_score(shared, p, keep), schema)
+    rows = docs.select(as_row(docs.select(*(F.col(f"`{c}`") for c in columns))) if columns else F.struct(F.lit(0).alias("none")).alias("row"), "text")
+    kept = ["row", *["text"] * with_text]
+    return rows.mapInArrow(_score(shared, p, kept), rows.select(*kept).schema.add("score", "double"))
+
+
+def score(docs: DataFrame, model: Model, p: Toxicity = Toxicity(), keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of each row (doc_id by default) with its score in [0, 1], in place of a column ``score`` if there is one."""
+    names = [c for c in keep or ["doc_id"] if c.lower() != "score"]
+    return _scored(docs, model, p, names, False).select(*(F.col("row")[c].alias(c) for c in names), "score")
+
+
+def below_threshold(docs: DataFrame, model: Model, p: Toxicity = Toxicity()) -> DataFrame:
+    """``docs``, all its columns, without the rows that score the threshold or more."""
+    scored = _scored(docs, model, p, [c for c in docs.columns if c != "text"], True)
+    return scored.filter(F.col("score") < p.threshold).select(*row_columns(docs, text=F.col("text")))
