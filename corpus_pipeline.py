@@ -12,34 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainwise.llm import bagminhash, decontamination, packing, substring_dedup, suffix_tree, toxicity
-from grainwise.llm._spark import read_table, written
+from grainwise.llm._spark import read_table, tidy, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays under the threshold."""
+    """Documents whose score stays under the threshold; a null text counts as empty, rows without a doc_id are judged by their text."""
     p = toxicity.Toxicity()
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), suffix_tree.crc_remainder("doc_id", 3) != 1, p)
-    return toxicity.score(docs, model, p, docs.columns).filter(F.col("score") < p.threshold).select(*docs.columns)
+    return toxicity.below_threshold(docs, model, p)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates."""
-    kept = bagminhash.near_duplicates(docs).filter("is_kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
+    """One document of each class of near duplicates, the smallest doc_id; repeated rows are one, rows without a doc_id come after all others."""
+    return bagminhash.kept_rows(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; a document of which nothing is left goes."""
+    """Documents without the passages that an earlier one has; a document of which nothing is left goes, one with a null text stays."""
     return substring_dedup.without_repeats(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window; without benchmark items all stay."""
     return decontamination.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left with their places in sequences."""
+    """The pieces of what is left with their places in sequences; a null text is its end token alone."""
     return packing.pack(docs)
 
 
@@ -55,11 +54,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = written(docs)
+            docs = written(docs)  # the scratch tables that a stage's result reads end with the run
     return docs
