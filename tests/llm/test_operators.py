@@ -198,8 +198,13 @@ def test_chat_layouts_and_round_trip(spark):
         {"prompt": "p", "response": "r"},
         {"instruction": "i", "input": "x", "output": "o"},
         {"unknown": 1},
+        {"id": 7, "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "q", "name": "n.m", "parts": [{"a|b": 1}]}]},
+        {"prompt": "p", "response": "r", "id": "x"},
+        {"messages": []},
+        {"messages": [{"role": "user"}, {"role": "assistant", "content": None}]},
+        {"messages": ["plain"]},
     ]
-    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id int, record string")
+    df = spark.createDataFrame([*((i, json.dumps(r)) for i, r in enumerate(records)), (20, None), (21, "["), (22, "[1]")], "id int, record string")
     made = chat_format.format_chats(df).withColumn("back", chat_format.read_back(chat_format.F.col("formatted")))
     got = {r.id: r for r in made.collect()}
     assert [tuple(t) for t in got[0].back] == [("user", hostile), ("assistant", hostile)]
@@ -209,6 +214,32 @@ def test_chat_layouts_and_round_trip(spark):
     assert got[4].mapping is None and got[4].formatted == ""
     s = got[2].loss_spans[0]
     assert got[2].formatted[s.start : s.start + s.length] == "r"
+    assert [tuple(t) for t in got[5].back] == [("system", "s"), ("user", "q")]
+    assert [tuple(t) for t in got[6].back] == [("user", "p"), ("assistant", "r")]
+    assert (got[7].mapping, got[7].formatted, got[7].status) == ("messages", "", "mapped")
+    assert [tuple(t) for t in got[8].back] == [("user", ""), ("assistant", "")]
+    assert [got[i].status for i in (4, 9, 20, 21, 22)] == ["unknown schema", "unknown schema", "null record", "no JSON object", "no JSON object"]
+    paths = df.filter("id = 5").select(chat_format.schema_paths(chat_format.F.col("record")).alias("p")).first().p.split("|")
+    assert paths == sorted(["id", "messages", "messages[].content", "messages[].name", "messages[].parts", "messages[].parts[].a~3b", "messages[].role"])
+
+
+def test_chat_query_goes_through_the_layouts(spark):
+    rows = [(c, t, r, f"{r} says {c}/{t} <x>") for c in range(60) for t, r in enumerate(["user", "assistant"] * (1 + c % 2))]
+    rows += [(100, 1, "user", "a"), (100, 1, "user", "a"), (100, 1, "assistant", None), (100, None, None, "first"), (None, 0, "assistant", ""), (101, 0, "human", "kept")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat_format.format_chats(chat_format.records_of(df)).withColumn("back", chat_format.read_back(chat_format.F.col("formatted")))
+    got = {r.conv_id: r for r in made.collect()}
+    assert {r.mapping for r in got.values()} == {"messages", "conversations", "turns", "prompt_response"}
+    for c in {r[0] for r in rows}:
+        turns = sorted(((r[1] is not None, r[1] or 0), r[2] or "", r[3] or "") for r in rows if r[0] == c)
+        assert [tuple(t) for t in got[c].back] == [(r, t) for _, r, t in turns]
+        spoken = [chat_text(got[c].formatted[s.start : s.start + s.length]) for s in got[c].loss_spans]
+        assert spoken == [t for _, r, t in turns if r == "assistant"]
+    assert chat_format.format_chats(chat_format.records_of(df.limit(0))).count() == 0
+
+
+def chat_text(s):
+    return s.replace("\\l", "<").replace("\\g", ">").replace("\\b", "\\")
 
 
 def test_toxicity(spark):
@@ -313,7 +344,7 @@ def test_chat_keeps_a_very_long_text(spark):
     rows = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant")], "conv_id long, turn long, role string")
     rows = rows.withColumn("text", chat_format.F.when(chat_format.F.col("turn") == 0, long).otherwise("short"))
     made = chat_format.format_chats(chat_format.records_of(rows)).selectExpr("mapping", "length(formatted) n", "loss_spans").first()
-    assert made.mapping == "messages" and made.n == 21_000_000 + 5 + 2 * 16 + 4 + 9 and len(made.loss_spans) == 1
+    assert made.mapping is not None and made.n == 21_000_000 + 5 + 2 * 16 + 4 + 9 and len(made.loss_spans) == 1
 
 
 def test_language_of_few_documents_is_known(spark):
