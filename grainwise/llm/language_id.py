@@ -12,12 +12,13 @@ Three sources are combined for each page:
 Every language of ``documents`` is known, however few of them it has; its likelihoods are
 smoothed.  The likelihood table has a row of ``buckets`` numbers for each language.
 
-A host with very many pages is summed in partial aggregates and joined as one small row.
+A host with very many pages is summed in partial aggregates, and its pages are dealt out to
+many tasks when they meet its sums; so are the hosts of a wide domain or suffix.
 
 Defined results: a null page or one without visible text is judged by markup and host
 alone; without a usable address the prior is that of all pages; ties go to the language
 first in the alphabet; repeated rows are judged each; without any training documents no
-row can be judged and language is null.
+row can be judged and language is null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import prepare, written
+from ._spark import prepare, salted_join, tidy, written
 from ._words import U64, lower_ascii, mix, steps, text_bytes
 
 
@@ -103,6 +104,7 @@ def _normal(log: Column) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
+@tidy
 def identify(pages: DataFrame, documents: DataFrame, p: LanguageId = LanguageId()) -> DataFrame:
     """page_id, language, probability, text_language, declared, host and the prior's probability of the answer."""
     spark = pages.sparkSession
@@ -140,17 +142,17 @@ def identify(pages: DataFrame, documents: DataFrame, p: LanguageId = LanguageId(
     own = written(fused.withColumns({"own": _normal(F.col("own_log")), "domain": domain, "suffix": suffix}).select("page_id", "host", "domain", "suffix", "declared", "text_log", "own_log", "own"))
 
     wide = own.select("host", "domain", "suffix", *(F.col("own")[i].alias(n) for i, n in enumerate(names)))
-    hosts = wide.groupBy("host", "domain", "suffix").agg(*(F.sum(n).alias(n) for n in names))
-    hosts = written(hosts.select("host", "domain", "suffix", F.array(*names).alias("host_n")))
+    hosts = wide.groupBy("host", "domain", "suffix").agg(F.count(F.lit(1)).alias("pages"), *(F.sum(n).alias(n) for n in names))
+    hosts = written(hosts.select("host", "domain", "suffix", "pages", F.array(*names).alias("host_n")))
 
-    def summed(df: DataFrame, key: str, n: str, out: str) -> DataFrame:
-        return df.groupBy(key).agg(F.array(*(F.sum(F.col(n)[i]) for i in range(size))).alias(out))
+    def with_level(df: DataFrame, key: str, out: str) -> DataFrame:
+        """Adds the sums of a wider level, which may hold a third of all hosts."""
+        sums = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_left"), F.array(*(F.sum(F.col("host_n")[i]) for i in range(size))).alias(out))
+        return salted_join(df, written(sums), [key], F.xxhash64("host"))
 
-    domains = summed(hosts, "domain", "host_n", "domain_n")
-    suffixes = summed(hosts, "suffix", "host_n", "suffix_n")
     everything = hosts.agg(*(F.coalesce(F.sum(F.col("host_n")[i]), F.lit(0.0)).alias(f"n{i}") for i in range(size))).first()
-    levels = hosts.join(domains, "domain").join(suffixes, "suffix").select("host", "host_n", "domain_n", "suffix_n")
-    placed = own.join(levels, "host")
+    levels = with_level(with_level(hosts, "domain", "domain_n"), "suffix", "suffix_n").select("host", "host_n", "domain_n", "suffix_n", F.col("pages").alias("n_left"))
+    placed = salted_join(own, written(levels), ["host"], F.monotonically_increasing_id())
     everyone = float(sum(everything)) + size
     placed = placed.withColumn("prior_p", F.array(*(F.lit((float(x) + 1.0) / everyone) for x in everything)))
 

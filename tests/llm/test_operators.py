@@ -382,3 +382,151 @@ def test_toxicity_of_single_marks_and_spaced_words(spark, toxic_model):
     assert max(scores(spark, toxic_model, ["a letter, paper!", "1,000 2,000", "stone-market"])) < 0.7
     found = toxicity.stretches(toxicity.Batch(*toxicity.text_bytes(toxicity.pa.array(["a$$ @$$ i..d 12,5 plain 2024-01-01 hello"]))))
     assert [(a, b) for _, a, b in found] == [(0, 3), (4, 7), (8, 12), (35, 40)]
+
+
+def test_language_by_fusion(spark):
+    """Where text alone fails, markup and host decide; where markup is wrong, text and host do."""
+    rng = random.Random(11)
+    words = {"en": "the river and house of king where every garden window holds bright morning light".split(), "de": "der Fluss und das Haus des Königs wo jeder Garten ein helles Fenster zum Morgen hat".split()}
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(x, 40), x) for i, x in enumerate(["en", "de"] * 60)], "doc_id long, text string, lang string")
+    pages, truth, kind = [], {}, {}
+    for i in range(600):
+        x = rng.choice(["en", "de"])
+        host = f"h{rng.randrange(6)}.{'anna' if x == 'de' else 'bob'}.org"
+        what = ["text", "hidden", "wrong markup", "short"][i % 4]
+        body = {"hidden": "4711 0815", "short": "ok"}.get(what) or say(x, 12)
+        said = {"en": "de", "de": "en"}[x] if what == "wrong markup" else x if what != "hidden" else ""
+        pages.append((i, f"https://{host}/{i}", f"<html{f' lang={said}' if said else ''}><p>{body}</p></html>"))
+        truth[i], kind[i] = x, what
+    got = {r.page_id: r for r in language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), docs).collect()}
+    right = lambda column, what: sum(got[i][column] == truth[i] for i in truth if kind[i] == what) / 150
+    assert right("text_language", "hidden") < 0.7 and right("language", "hidden") > 0.95
+    assert right("language", "short") > 0.95
+    assert right("language", "wrong markup") > 0.95
+    assert right("language", "text") > 0.95
+    some = spark.createDataFrame([(1, None, None), (1, None, None), (None, "x", "")], "page_id long, url string, html string")
+    assert len(language_id.identify(some, docs).collect()) == 3
+    assert language_id.identify(some.limit(0), docs).count() == 0
+
+
+def test_restoring_is_the_best_reading(spark, toxic_model):
+    """The Viterbi search against every reading of short strings."""
+    from itertools import product
+
+    p, model = toxicity.Toxicity(), toxic_model.letters
+    restorer = toxicity.Restorer(model, p)
+
+    def best(s):
+        options = []
+        for i, c in enumerate(s):
+            some = [(c, 0.0)] if c.isalpha() else [(x, p.swap) for x in toxicity.LOOKALIKES.get(c, "")]
+            nothing = p.skip if c in toxicity.SEPARATORS else p.repeat if i and c == s[i - 1] else None
+            if not some and nothing is None or c in toxicity.PUNCTUATION:
+                nothing = p.skip
+            options.append(some + ([("", nothing)] if nothing is not None else []))
+        found = {}
+        for reading in product(*options):
+            a = b = 0
+            score = 0.0
+            for x, cost in reading:
+                score += cost
+                if x:
+                    k = ord(x) - 96
+                    score, a, b = score + model[a][b][k], b, k
+            text = "".join(x for x, _ in reading)
+            found[text] = max(found.get(text, -1e9), score + model[a][b][0])
+        return found
+
+    for s in ["wr3tch", "w.r.e.t", "wwr33t", "1e7ter", "p@p3r", "st0ne!", "g4rd3n", "l3tt3rr", "9", "a-b", "||", "m4rk3t"]:
+        found, got = best(s), restorer.decode(s)
+        assert math.isclose(found[got], max(found.values()), rel_tol=1e-9), s
+
+
+def structured(n):
+    """Texts on which hashes that are linear in the letters meet: a Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_structured_texts_stay_apart(spark, n):
+    a, b = structured(n)
+    words = [" ".join(x) for x in structured(n)]
+    rows = [(i, t) for i, t in enumerate([a, b, *words, (a + " ") * 13, (b + " ") * 13])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in bagminhash.near_duplicates(df).collect() if r.copy_of != r.doc_id} == set()
+    first, want = {}, {}
+    for i, t in rows:
+        w = t.split()
+        gone = set()
+        for s in range(len(w) - 12):
+            if first.setdefault(tuple(w[s : s + 13]), i) < i:
+                gone |= set(range(s, s + 13))
+        want[i] = len(gone)
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()} == want
+    got = {r.doc_id: r for r in suffix_tree.train_and_score(df, suffix_tree.F.col("doc_id").isin(1, 5)).collect()}
+    assert got[1].n_known == 1 and got[5].n_known == 1 and got[0].n_known == 2
+
+
+def test_maximal_repeats(spark):
+    rng = random.Random(2)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, other = say(40), say(13)
+    rows = [(1, say(5) + passage + say(3)), (2, say(9) + passage[:30] + say(4) + other), (3, other + say(2) + passage[5:]), (4, say(20)), (5, None)]
+    rows.append((6, rows[3][1]))
+    df = spark.createDataFrame([(i, w and "  ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted(tuple(r) for r in substring_dedup.repeats(df).collect())
+    assert got == [(2, 9, 30, 1, 5), (3, 0, 13, 2, 43), (3, 15, 35, 1, 10), (6, 0, 20, 4, 0)]
+    kept = {r.doc_id: r.text for r in substring_dedup.without_repeats(df).collect()}
+    assert kept[2] == "  ".join(rows[1][1][:9]) + "  " + "  ".join(rows[1][1][39:]) and 6 not in kept and kept[5] is None and kept[3] == "  ".join(rows[2][1][13:15]) + "  "
+
+
+CLASHES = ["_id", "row", "key", "_key", "starts", "matches", "n_words", "n_removed", "text_key", "score", "kept", "label", "node", "anchor", "hit_spans", "_k0", "id", "w", "doc", "family"]
+
+
+def test_further_columns_and_nulls_pass_every_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(None, "one two three four five six seven"), (None, "one two three four five six seven"), (3, None), (3, None), (4, ""), (5, "the cat sat on the mat " * 30), (6, "the cat sat on the mat " * 30), (7, "x" * 300_000), (8, "a b c d e f g h i j k l m n o p q r s t u v w")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *CLASHES) for i, t in rows], schema)
+    spark.createDataFrame([(4, 1, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[8][1]), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (df, df.limit(0)):
+        now = docs
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+            if name != "packing":
+                assert now.columns == df.columns
+                got = now.collect()
+                assert all(r[c] == c for r in got for c in CLASHES)
+                now = spark.createDataFrame(got, df.schema)
+                if docs is df:
+                    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in got)
+                    assert len(ids) == {"toxicity": 9, "near_dedup": 5, "substring_dedup": 5, "decontamination": 4}[name], name
+        assert (now.count() > 0) == (docs is df)
+
+
+def test_every_operator_on_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, None), (None, "a b"), (1, "a b"), (1, "a b"), (2, "c " * 60)], "doc_id long, text string")
+    held = suffix_tree.crc_remainder("doc_id", 10) == 0
+    benchmark = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    runs = [
+        lambda d: spotsigs.fingerprints(d), lambda d: substring_dedup.remove_repeats(d), lambda d: suffix_tree.train_and_score(d, held), lambda d: sharding.shard(d),
+        lambda d: decontamination.decontaminate(d, benchmark), lambda d: bagminhash.near_duplicates(d), lambda d: packing.pack(d),
+    ]
+    for run in runs:
+        assert run(df).count() == 5
+        assert run(df.limit(0)).count() == 0
+    assert decontamination.decontaminate(df, benchmark).filter("contaminated").count() == 3
+    assert decontamination.decontaminate(df, benchmark.limit(0)).filter("contaminated").count() == 0
+
+
+def test_shards_are_balanced(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.choice([1, 5, 40, 300])) for i in range(6000)] + [(10_000 + i, "hot " * 20) for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).groupBy("shard").agg({"size": "sum", "shard": "count"}).collect()
+    assert len(got) == 16
+    for k in (1, 2):
+        assert max(r[k] for r in got) <= 1.1 * sum(r[k] for r in got) / 16
