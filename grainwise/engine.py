@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import ParseError, SemanticError
-from .model import Definition, Metric, bare, key
+from .model import Definition, Metric, bare, key, last, parts
 from .operators.frames import frame
 from .plans import text
 from .plans.graph import validate
@@ -26,13 +27,20 @@ class Engine:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.catalog = spark, Catalog(path)
-        self._calls = 0
 
     # definitions
 
     def create(self, view: Definition, replace_it: bool = False, if_not_exists: bool = False) -> bool:
         validate(view)
-        return self.catalog.create(view, replace_it, if_not_exists)
+        ddl.check_representable(view)
+        return self.catalog.create(replace(view, tables=tuple(replace(t, table=self._bound(t.table)) for t in view.tables)), replace_it, if_not_exists)
+
+    def _bound(self, table: str) -> str:
+        """A bare name of a stored table with the schema that it has now; temporary views and tables that come later stay as written."""
+        if "." in table or table.startswith("`") or not self.spark.catalog.tableExists(table):
+            return table
+        found = self.spark.catalog.getTable(table)
+        return table if found.isTemporary or not found.namespace else ".".join([*found.namespace, found.name])
 
     def create_from_yaml(self, name: str, source: str, **how: bool) -> bool:
         schema, short = self.catalog.split(name)
@@ -46,15 +54,15 @@ class Engine:
 
     # queries
 
-    def plan(self, view: str, dimensions=(), metrics=(), facts=(), where: str | None = None) -> Plan:
-        return Planner(self.catalog.find(view)).plan(Request(tuple(dimensions), tuple(metrics), tuple(facts), where))
+    def plan(self, view: str, dimensions=(), metrics=(), facts=(), where: str | None = None, search_path: list[str] | None = None) -> Plan:
+        return Planner(self.catalog.find(view, search_path)).plan(Request(tuple(dimensions), tuple(metrics), tuple(facts), where))
 
-    def query(self, view: str, dimensions=(), metrics=(), facts=(), where: str | None = None) -> DataFrame:
+    def query(self, view: str, dimensions=(), metrics=(), facts=(), where: str | None = None, search_path: list[str] | None = None) -> DataFrame:
         """A lazy DataFrame: dimensions as asked, then metrics or facts as asked."""
-        return frame(self.spark, self.plan(view, dimensions, metrics, facts, where))
+        return frame(self.spark, self.plan(view, dimensions, metrics, facts, where, search_path))
 
-    def explain(self, view: str, dimensions=(), metrics=(), facts=(), where: str | None = None) -> DataFrame:
-        plan = self.plan(view, dimensions, metrics, facts, where)
+    def explain(self, view: str, dimensions=(), metrics=(), facts=(), where: str | None = None, search_path: list[str] | None = None) -> DataFrame:
+        plan = self.plan(view, dimensions, metrics, facts, where, search_path)
         lines = [f"view: {view}", f"dimensions: {', '.join(dimensions)}", f"metrics: {', '.join(metrics)}", f"facts: {', '.join(facts)}", f"materialization: {plan.materialized[0].name if plan.materialized else 'none'}"]
         for g in [*plan.groups, *([plan.rows] if plan.rows else [])]:
             lines += [f"grain {g.root[0]}: {', '.join(j.alias for j in g.joins) or 'no joins'}" + (f"; where {g.where}" if g.where else "")]
@@ -65,14 +73,19 @@ class Engine:
     # SQL
 
     def sql(self, statement: str) -> DataFrame:
-        """Statements about semantic views; in others each semantic_view(...) becomes a view over its result."""
+        """Statements about semantic views; in others, which pass as they are, each semantic_view(...) becomes a view over its result."""
         plain = text.without_comments(statement).strip().rstrip(";").strip()
         for pattern, run in self._statements():
             if m := re.fullmatch(pattern, plain, re.I | re.S):
                 return run(m)
-        if re.match(r"\s*(CREATE|DROP|ALTER|DESC|DESCRIBE|SHOW)\b.*\bSEMANTIC\b", plain, re.I | re.S):
+        if re.match(r"\s*(CREATE|DROP|ALTER|DESC|DESCRIBE|SHOW)\s+(OR\s+REPLACE\s+|TERSE\s+|COLUMNS\s+IN\s+)?SEMANTIC\b", plain, re.I | re.S):
             raise ParseError(f"not understood: {plain[:60]}")
-        return self.spark.sql(self._with_views(plain))
+        made: list[str] = []
+        try:
+            return self.spark.sql(self._with_views(statement.strip().rstrip(";"), made))
+        finally:  # the statement is analysed; the names are needed no more
+            for name in made:
+                self.spark.catalog.dropTempView(name)
 
     def _statements(self):
         yield rf"CREATE{_S}(OR{_S}REPLACE{_S})?SEMANTIC{_S}VIEW{_S}(IF{_S}NOT{_S}EXISTS{_S})?({_NAME})\s*(?:COMMENT\s*=\s*({_STRING})\s*)?(AS|FROM{_S}YAML(?:{_S}FILE)?)\b(.*)", self._create
@@ -87,8 +100,20 @@ class Engine:
         yield rf"SHOW{_S}SEMANTIC{_S}(DIMENSIONS|METRICS|FACTS|MATERIALIZATIONS)(.*)", lambda m: self.show_members(m.group(1).lower(), m.group(2))
         yield rf"SELECT{_S}GET_DDL\s*\(\s*'SEMANTIC_VIEW'\s*,\s*({_STRING})\s*(?:,\s*(true|false)\s*)?\)", lambda m: self._names("ddl string", [self.get_ddl(ddl.string(m.group(1)), (m.group(2) or "").lower() == "true")])
         yield rf"SELECT{_S}READ_YAML_FROM_SEMANTIC_VIEW\s*\(\s*({_STRING})\s*\)", lambda m: self._names("yaml string", [self.read_yaml(ddl.string(m.group(1)))])
+        yield rf"SET{_S}search_path\s*(?:=|TO)\s*(.*)", self._set_path
         yield r"(?:SELECT\s+\*\s+FROM\s+)?explain_semantic_view\s*\((.*)\)", lambda m: self.explain(**self._arguments(m.group(1)))
 
+    def _set_path(self, m: re.Match) -> DataFrame:
+        self.catalog.search_path = self._path(m.group(1))
+        return self._rows("key string, value string", [("search_path", ",".join(self.catalog.search_path))])
+
+    @staticmethod
+    def _path(value: str) -> list[str]:
+        """Schemas in order, from 'a,b', a list of strings, or bare names."""
+        inner = re.sub(r"^\s*(?:array)?\s*[\[(]|[\])]\s*$", "", value, flags=re.I)
+        items = [ddl.string(x) if x[:1] in ("'", "$") else x for x in text.split(inner)]
+        return [key(x) for item in items for x in item.split(",") if x.strip()]
+
     def _create(self, m: re.Match) -> DataFrame:
         instead, lenient, name, comment, how, body = m.groups()
         schema, short = self.catalog.split(name)
@@ -116,23 +141,36 @@ class Engine:
             name, value = (m.group(1).lower(), m.group(2)) if m else ("view", part) if i == 0 else (None, part)
             if name not in ("view", "dimensions", "metrics", "facts", "where_clause", "search_path"):
                 raise ParseError(f"unknown argument {part}")
-            if name in ("view", "where_clause"):
+            if name == "search_path":
+                args[name] = self._path(value)
+            elif name in ("view", "where_clause"):
                 args["where" if name == "where_clause" else name] = ddl.string(value)
             else:
                 args[name] = [ddl.string(x) for x in text.split(re.sub(r"^\s*(?:array)?\s*[\[(]|[\])]\s*$", "", value, flags=re.I)) if x]
-        args.pop("search_path", None)
         if "view" not in args:
             raise ParseError("semantic_view needs a view name")
         return args
 
-    def _with_views(self, statement: str) -> str:
-        for name, a, b in text.calls(statement):
-            if name.lower() == "semantic_view":
-                self._calls += 1
-                temp = f"_semantic_view_{id(self) % 1_000_000}_{self._calls}"
-                self.query(**self._arguments(statement[a:b])).createOrReplaceTempView(temp)
-                start = statement.rindex(name, 0, a)
-                return self._with_views(statement[:start] + temp + statement[b + 1 :])
+    def _with_views(self, statement: str, made: list[str]) -> str:
+        """The statement with each call of a registered function replaced: by a temporary view's name, or by a string."""
+        for name, a, b in text.calls(statement, spark=True):
+            low = name.lower()
+            if low in ("semantic_view", "explain_semantic_view"):
+                instead = f"_semantic_view_{uuid.uuid4().hex}"
+                run = self.query if low == "semantic_view" else self.explain
+                run(**self._arguments(statement[a:b])).createOrReplaceTempView(instead)
+                made.append(instead)
+            elif low == "get_ddl":
+                args = text.split(statement[a:b])
+                if len(args) not in (2, 3) or ddl.string(args[0]).upper() != "SEMANTIC_VIEW":
+                    raise ParseError("GET_DDL('SEMANTIC_VIEW', 'name' [, true])")
+                instead = text.spark_literal(self.get_ddl(ddl.string(args[1]), len(args) == 3 and args[2].strip().lower() == "true"))
+            elif low == "read_yaml_from_semantic_view":
+                instead = text.spark_literal(self.read_yaml(ddl.string(statement[a:b])))
+            else:
+                continue
+            start = statement.rindex(name, 0, a)
+            return statement[:start] + instead + self._with_views(statement[b + 1 :], made)
         return statement
 
     # introspection
@@ -152,8 +190,8 @@ class Engine:
             rows.extend((kind, item, parent, p, x) for p, x in properties if x is not None)
 
         for t in v.tables:
-            parts = t.table.split(".")
-            add("TABLE", t.alias, None, [("BASE_TABLE_DATABASE_NAME", v.database), ("BASE_TABLE_SCHEMA_NAME", parts[-2] if len(parts) > 1 else v.schema), ("BASE_TABLE_NAME", parts[-1]), ("PRIMARY_KEY", listed(t.primary_key) if t.primary_key else None), ("COMMENT", t.comment), ("SYNONYMS", listed(t.synonyms) if t.synonyms else None)])
+            names = parts(t.table)
+            add("TABLE", t.alias, None, [("BASE_TABLE_DATABASE_NAME", v.database), ("BASE_TABLE_SCHEMA_NAME", names[-2] if len(names) > 1 else v.schema), ("BASE_TABLE_NAME", names[-1]), ("PRIMARY_KEY", listed(t.primary_key) if t.primary_key else None), ("COMMENT", t.comment), ("SYNONYMS", listed(t.synonyms) if t.synonyms else None)])
         for r in v.relationships:
             add("RELATIONSHIP", r.name or "", r.source, [("TABLE", r.source), ("REF_TABLE", r.target), ("FOREIGN_KEY", listed(r.columns)), ("REF_KEY", listed(r.references or v.table(r.target).primary_key))])
         types = self._types(v)
@@ -236,7 +274,7 @@ class Engine:
         m = Planner(v).find(metric, v.metrics)
         if m is None:
             raise ParseError(f"view '{view}' has no metric '{metric}'")
-        needed = {key(d.split(".")[-1]) for w in [m.window] if w for d in (*(w.partition or ()), *(w.excluding or ()), *(o.key for o in w.order))}
+        needed = {last(d) for w in [m.window] if w for d in (*(w.partition or ()), *(w.excluding or ()), *(o.key for o in w.order))}
         types, rows = self._types(v), []
         for d in sorted(v.dimensions, key=lambda d: d.name):
             planner = Planner(v)

@@ -19,7 +19,8 @@ DuplicateMember = _kind("DuplicateMember", "A member was asked for twice.")
 PrivateMember = _kind("PrivateMember", "A private metric or fact was asked for.")
 FactsMetricsExclusion = _kind("FactsMetricsExclusion", "Facts and metrics can't be asked for together.")
 FanTrap = _kind("FanTrap", "A dimension lies below a metric's grain.")
-MetricFanTrap = _kind("MetricFanTrap", "Metrics of different grains would inflate each other.")
+RootGrainFanTrap = _kind("RootGrainFanTrap", "A metric above the base table would be repeated for each of its rows.")
+MetricFanTrap = _kind("MetricFanTrap", "Metrics of different grains would inflate each other, and can't be asked apart.")
 WhereFanTrap = _kind("WhereFanTrap", "A filter member lies below a metric's grain.")
 FactFanTrap = _kind("FactFanTrap", "A member reaches a fact on a table that fans.")
 FactPathViolation = _kind("FactPathViolation", "Row-level members lie on tables without a common row.")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 
@@ -100,11 +101,22 @@ class Definition:
         return next(t for t in self.tables if key(t.alias) == key(alias))
 
 
+def parts(name: str) -> list[str]:
+    """The parts of a dotted name, without their quotes; a dot inside quotes separates nothing."""
+    return [p[1:-1].replace('""', '"') if p[:1] in ('"', "`") else p.strip() for p in re.findall(r'"(?:[^"]|"")*"|`[^`]*`|[^."`]+', name.strip())]
+
+
 def key(name: str) -> str:
-    """Names match whatever their case and quotes."""
-    return ".".join(part.strip().strip('"`').lower() for part in name.split("."))
+    """Names match whatever their case and quotes; a dot inside a part is none between parts."""
+    return ".".join(p.lower().replace(".", "\0") for p in parts(name))
+
+
+def last(name: str) -> str:
+    """The key of a name's last part."""
+    return key(name).rpartition(".")[2]
 
 
 def bare(name: str) -> str:
     """A name without its quotes, as output columns have it."""
-    return name.strip().strip('"`')
+    found = parts(name)
+    return found[0] if len(found) == 1 else name.strip().strip('"`')

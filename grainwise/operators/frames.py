@@ -42,26 +42,54 @@ def aggregated(spark: SparkSession, group: Group) -> DataFrame:
 
 
 def _snapshot(df: DataFrame, group: Group) -> DataFrame:
-    """Ranks rows before they are aggregated; a snapshot metric counts rows of rank 1 only."""
-    ranks = {}
-    named = {}
+    """Aggregates twice: by the dimensions and the places in time, then over the places that count.
+
+    The first step is combined before the shuffle, so ranking sees one row for each place
+    instead of each row of the tables.  Without anything to partition by, the place that
+    counts is a maximum, not a ranking of all places in one task.
+    """
+    dims = [F.expr(d.expr).alias(f"_d{i}") for i, d in enumerate(group.dimensions)]
+    at = {d.name: f"_d{i}" for i, d in enumerate(group.dimensions)}
+    orders = [F.expr(e).alias(f"_o{i}_{j}") for i, shot in enumerate(group.snapshots) for j, (e, _) in enumerate(shot.order)]
+    calls = [(name.lower(), m.expr[a:b]) for m in group.metrics for name, a, b in [next(iter(text.calls(m.expr)))]]
+    inner = []
+    for i, (name, value) in enumerate(calls):
+        x = F.expr(value)
+        inner += [F.sum(x).alias(f"_v{i}"), F.count(x).alias(f"_n{i}")] if name == "avg" else [getattr(F, name)(x).alias(f"_v{i}")]
+    places = [f"_d{i}" for i in range(len(dims))] + [f"_o{i}_{j}" for i, shot in enumerate(group.snapshots) for j in range(len(shot.order))]
+    pre = df.groupBy(*dims, *orders).agg(*inner)
+    chosen: dict[str, SparkColumn] = {}
     for i, shot in enumerate(group.snapshots):
-        keys = [F.expr(x) for x in shot.partition] or [F.lit(1)]
-        window = Window.partitionBy(*keys).orderBy(*(ordering(F.expr(e), o, reverse=True) for e, o in shot.order))
-        ranks[f"_rank{i}"] = F.rank().over(window)
-        named |= dict.fromkeys(shot.metrics, f"_rank{i}")
-    inputs = []
+        keys = [F.col(at[name]) for name in shot.partition]
+        flag = f"_first{i}"
+        downs = {o.descending for _, o in shot.order}
+        if not keys and len(downs) == 1:
+            down = not downs.pop()  # the last place of the declared order
+            place = F.struct(*(x for j, (_, o) in enumerate(shot.order) for x in (_null_rank(F.col(f"_o{i}_{j}"), o, down), F.col(f"_o{i}_{j}"))))
+            best = pre.agg((F.max if down else F.min)(place).alias(f"_best{i}"))
+            pre = pre.crossJoin(F.broadcast(best)).withColumn(flag, place.eqNullSafe(F.col(f"_best{i}"))).drop(f"_best{i}")  # one row
+        else:
+            window = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*(ordering(F.col(f"_o{i}_{j}"), o, reverse=True) for j, (_, o) in enumerate(shot.order)))
+            pre = pre.withColumn(flag, F.rank().over(window) == 1)
+        chosen |= {name: F.col(flag) for name in shot.metrics}
+    whole = df.select(*(F.expr(m.expr).alias(m.name) for m in group.metrics)).schema  # avg keeps its own type
     outputs = []
-    for i, m in enumerate(group.metrics):
-        name, a, b = next(iter(text.calls(m.expr)))
-        inputs.append(F.expr(m.expr[a:b]).alias(f"_v{i}"))
-        value = F.col(f"_v{i}")
-        if m.name in named:
-            value = F.when(F.col(named[m.name]) == 1, value)
-        outputs.append(getattr(F, name.lower())(value).alias(m.name))
-    dims = [F.expr(d.expr).alias(f"_d{i}") for i, d in enumerate(group.dimensions)]
-    rows = df.select(*dims, *inputs, *(c.alias(n) for n, c in ranks.items()))
-    return rows.groupBy(*(F.col(f"_d{i}").alias(d.name) for i, d in enumerate(group.dimensions))).agg(*outputs)
+    for i, (m, (name, _)) in enumerate(zip(group.metrics, calls, strict=True)):
+        counts = lambda c, m=m: F.when(chosen[m.name], F.col(c)) if m.name in chosen else F.col(c)
+        if name == "avg":
+            value = F.try_divide(F.sum(counts(f"_v{i}")), F.sum(counts(f"_n{i}")))
+        elif name == "count":
+            value = F.coalesce(F.sum(counts(f"_v{i}")), F.lit(0))
+        else:
+            value = getattr(F, name)(counts(f"_v{i}"))
+        outputs.append(value.cast(whole[m.name].dataType).alias(m.name))
+    return pre.groupBy(*(F.col(p).alias(d.name) for p, d in zip(places, group.dimensions, strict=False))).agg(*outputs)
+
+
+def _null_rank(column: SparkColumn, order: Order, down: bool) -> SparkColumn:
+    """Where NULLs stand: a number that goes before the value in comparisons."""
+    first = order.nulls_first == down
+    return F.when(column.isNull(), F.lit(int(first))).otherwise(F.lit(int(not first)))
 
 
 def combined(spark: SparkSession, plan: Plan) -> DataFrame:

@@ -8,7 +8,7 @@ from graphlib import TopologicalSorter
 
 from .. import errors
 from ..functions import aggregates
-from ..model import Definition, Relationship, key
+from ..model import Definition, Relationship, key, last
 from . import text
 
 
@@ -83,6 +83,20 @@ def ordered(needs: dict[str, list[str]], what: str) -> list[str]:
         raise errors.CycleError(f"{what} form a cycle: {' -> '.join(map(str, e.args[1]))}") from None
 
 
+#: Definitions that are built on each other, at most.
+DEPTH = 64
+
+
+def _nested(needs: dict[str, list[str]], what: str, bad) -> None:
+    """Refuses cycles, and chains of more than DEPTH."""
+    depth: dict[str, int] = {}
+    for name in ordered(needs, what):
+        depth[name] = 1 + max((depth.get(n, 0) for n in needs.get(name, ()) if n in needs), default=0) if name in needs else 0
+    deepest = max(depth.values(), default=0)
+    if deepest > DEPTH:
+        raise bad(f"{what} are nested {deepest} deep; at most {DEPTH} are")
+
+
 def validate(view: Definition) -> None:
     """Refuses a definition that contradicts itself; physical tables are not looked at."""
     bad = lambda m: errors.DefinitionError(f"view '{view.name}': {m}")
@@ -130,11 +144,13 @@ def validate(view: Definition) -> None:
             raise bad(f"{m.name} names the unknown table {m.table}")
         if not m.expr.strip():
             raise bad(f"{m.name} has no expression")
+        if missing := aggregates.unsupported(m.expr):
+            raise bad(f"{m.name}: Spark has no aggregate {missing}")
     facts = fact_names(view)
     for f in view.facts:
         if aggregates.has_aggregate(f.expr):
             raise bad(f"fact {f.name} aggregates; facts are row-level")
-    ordered({key(f.name): [key(g.name) for g in facts_in(f.expr, facts) if g is not f] for f in view.facts}, "facts")
+    _nested({key(f.name): [key(g.name) for g in facts_in(f.expr, facts) if g is not f] for f in view.facts}, "facts", bad)
     metrics = {key(m.name): m for m in view.metrics}
     relationship_names = {key(r.name): r for r in view.relationships if r.name}
     dims = {key(d.name) for d in view.dimensions}
@@ -143,41 +159,41 @@ def validate(view: Definition) -> None:
             if key(u) not in relationship_names:
                 raise bad(f"metric {m.name} uses the unknown relationship {u}")
         for o in m.non_additive:
-            if key(o.key.split(".")[-1]) not in dims:
+            if last(o.key) not in dims:
                 raise bad(f"metric {m.name} is non-additive by the unknown dimension {o.key}")
         if m.derived:
             if aggregates.has_aggregate(m.expr):
                 raise bad(f"derived metric {m.name} aggregates; only metrics of a table do")
-            unknown = [x for x in text.references(m.expr) if key(x) not in metrics and key(x.split(".")[-1]) not in metrics]
+            unknown = [x for x in text.references(m.expr) if key(x) not in metrics and last(x) not in metrics]
             if unknown:
                 raise bad(f"derived metric {m.name} names the unknown metric {unknown[0]}")
             for x in text.references(m.expr):
-                if metrics[key(x.split(".")[-1])].window:
+                if metrics[last(x)].window:
                     raise bad(f"derived metric {m.name} is built on the window metric {x}")
         elif m.window:
-            inner = metrics.get(key(m.window.metric.split(".")[-1]))
+            inner = metrics.get(last(m.window.metric))
             if inner is None or inner.window:
                 raise bad(f"window metric {m.name} needs a metric without window, not {m.window.metric}")
             if m.non_additive:
                 raise bad(f"window metric {m.name} can't be non-additive")
             for d in (*(m.window.partition or ()), *(m.window.excluding or ()), *(o.key for o in m.window.order)):
-                if key(d.split(".")[-1]) not in dims:
+                if last(d) not in dims:
                     raise bad(f"window metric {m.name} names the unknown dimension {d}")
         elif not aggregates.has_aggregate(m.expr):
             raise bad(f"metric {m.name} does not aggregate")
-    ordered({key(m.name): [key(x.split(".")[-1]) for x in text.references(m.expr)] for m in view.metrics if m.derived}, "derived metrics")
+    _nested({key(m.name): [last(x) for x in text.references(m.expr)] for m in view.metrics if m.derived}, "derived metrics", bad)
     own = {(key(m.table or view.base), key(m.name)) for m in members}
     for m in members:
         for x in text.references(m.expr):
-            parts = x.split(".")
-            if len(parts) == 2 and key(parts[0]) in graph.aliases and m.table and key(parts[0]) != key(m.table) and (key(parts[0]), key(parts[1])) not in own:
+            names = key(x).split(".")
+            if len(names) == 2 and names[0] in graph.aliases and m.table and names[0] != key(m.table) and (names[0], names[1]) not in own:
                 raise bad(f"{m.name} of {m.table} reads column {x} of another table; declare a fact there")
     for mat in view.materializations:
         for d in mat.dimensions:
-            if key(d.split(".")[-1]) not in dims:
+            if last(d) not in dims:
                 raise bad(f"materialization {mat.name} names the unknown dimension {d}")
         for d in mat.metrics:
-            if key(d.split(".")[-1]) not in metrics:
+            if last(d) not in metrics:
                 raise bad(f"materialization {mat.name} names the unknown metric {d}")
 
 
@@ -186,7 +202,7 @@ def fact_names(view: Definition) -> dict[str, object]:
     out = {}
     for f in view.facts:
         out[key(f.name)] = f
-        out[key(f"{f.table or view.base}.{f.name}")] = f
+        out[f"{key(f.table or view.base)}.{key(f.name)}"] = f
     return out
 
 

@@ -10,7 +10,7 @@ from itertools import combinations
 
 from .. import errors
 from ..functions import aggregates
-from ..model import Definition, Materialization, Member, Metric, Order, WindowSpec, bare, key
+from ..model import Definition, Materialization, Member, Metric, Order, WindowSpec, bare, key, last, parts
 from . import text
 from .graph import Graph, fact_names, facts_in
 
@@ -30,10 +30,10 @@ class Column:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """Only rows at the first place of ``order`` within the asked dimensions count; ties all do."""
+    """Only rows at the last place of ``order`` count, within the asked dimensions that the metric is additive by; ties all do."""
 
     order: tuple[tuple[str, Order], ...]  # (expression, declared order)
-    partition: tuple[str, ...]
+    partition: tuple[str, ...]  # names of dimension columns
     metrics: tuple[str, ...]
 
 
@@ -97,13 +97,13 @@ class Planner:
             else:
                 out.append(name)
         if any(n.strip().endswith(".*") for n in asked):
-            out = list({key(n.split(".")[-1]): n for n in reversed(out)}.values())[::-1]
+            out = list({last(n): n for n in reversed(out)}.values())[::-1]
         return out
 
     def find(self, name: str, items: tuple[Member, ...]) -> Member | None:
         want = key(name)
         for m in items:
-            if key(m.name) == want or key(f"{m.table or self.view.base}.{m.name}") == want:
+            if key(m.name) == want or f"{key(m.table or self.view.base)}.{key(m.name)}" == want:
                 return m
         return None
 
@@ -122,6 +122,9 @@ class Planner:
             out.append(m)
         return out
 
+    def _dimension(self, name: str) -> Member | None:
+        return self.find(name, self.view.dimensions) or self.find(last(name), self.view.dimensions)
+
     # expressions
 
     def inline(self, expr: str, own: Member | None = None) -> str:
@@ -137,7 +140,7 @@ class Planner:
 
     def tables_in(self, expr: str, own: Member | None = None) -> set[str]:
         """Tables that an expression reads: those it qualifies and those of its facts."""
-        out = {key(x.split(".")[0]) for x in text.references(expr) if "." in x and key(x.split(".")[0]) in self.graph.aliases}
+        out = {head for x in text.references(expr) if len(parts(x)) > 1 and (head := key(x).split(".")[0]) in self.graph.aliases}
         for f in facts_in(expr, self.facts):
             if f is not own:
                 out |= {self.table_of(f)} | self.tables_in(f.expr, f)
@@ -149,15 +152,15 @@ class Planner:
     def base_metrics(self, m: Metric) -> list[Metric]:
         """The metrics of tables that a metric is made of, in declared order."""
         if m.window:
-            return self.base_metrics(self.metrics[key(m.window.metric.split(".")[-1])])
+            return self.base_metrics(self.metrics[last(m.window.metric)])
         if not m.derived:
             return [m]
-        found = {key(b.name) for x in text.references(m.expr) for b in self.base_metrics(self.metrics[key(x.split(".")[-1])])}
+        found = {key(b.name) for x in text.references(m.expr) for b in self.base_metrics(self.metrics[last(x)])}
         return [b for b in self.view.metrics if key(b.name) in found]
 
     def composed(self, m: Metric) -> str:
         """A derived metric over base metric columns."""
-        return text.replace(m.expr, lambda x: f"({self.composed(n)})" if (n := self.metrics[key(x.split(".")[-1])]).derived else f"`{_column(n)}`") if m.derived else f"`{_column(m)}`"
+        return text.replace(m.expr, lambda x: f"({self.composed(n)})" if (n := self.metrics[last(x)]).derived else f"`{_column(n)}`") if m.derived else f"`{_column(m)}`"
 
     # where
 
@@ -220,8 +223,9 @@ class Planner:
 
     def _rewrite(self, expr: str, roles: dict[str, str]) -> str:
         def by(ref: str) -> str | None:
-            head, dot, rest = ref.partition(".")
-            return f"{key(head)}__{roles[key(head)]}.{rest}" if dot and key(head) in roles else None
+            names = parts(ref)
+            head = key(ref).split(".")[0]
+            return f'{head}__{roles[head]}."{names[1]}"' if len(names) > 1 and head in roles else None
 
         return text.spark_sql(text.replace(expr, by)) if roles else text.spark_sql(expr)
 
@@ -252,21 +256,24 @@ class Planner:
         self._window_dimensions(windows, dims)
         asked = {key(d.name) for d in dims}
         bases = list({key(b.name): b for m in metrics for b in self.base_metrics(m)}.values())
-        snap = {key(b.name): b for b in bases if b.non_additive and any(key(o.key.split(".")[-1]) not in asked for o in b.non_additive)}
+        snap = {key(b.name): b for b in bases if b.non_additive and any(last(o.key) not in asked for o in b.non_additive)}
         for m in metrics:
             if key(m.name) not in snap and any(key(b.name) in snap for b in self.base_metrics(m)):
                 raise errors.SemiAdditiveDependency(f"metric '{m.name}' is built on a snapshot")
-        extra = [self.find(o.key, view.dimensions) or self.find(o.key.split(".")[-1], view.dimensions) for b in snap.values() for o in b.non_additive if key(o.key.split(".")[-1]) not in asked]
-        self._fan_traps(bases, [*dims, *extra], used)
+        places = {k: [d for o in b.non_additive if last(o.key) not in asked and (d := self._dimension(o.key))] for k, b in snap.items()}
+        extra = [d for ds in places.values() for d in ds]
+        self._fan_traps(bases, dims, used)
+        for k, ds in places.items():
+            self._fan_traps([snap[k]], ds, [])
         roles = self._roles([*dims, *extra], metrics, used, [])
         columns = tuple(Column(bare(d.name), self._rewrite(self.inline(d.expr, d), roles)) for d in dims)
         where = self._rewrite(where, roles) if where else None
-        needed = set().union(*(self.member_tables(d) for d in (*dims, *extra, *used))) if (dims or extra or used) else set()
+        needed = set().union(*(self.member_tables(d) for d in (*dims, *used))) if (dims or used) else set()
         if not metrics:
             return Plan(rows=self._rows(dims, [], where, needed, roles), distinct=True, dimensions=tuple(names), outputs=tuple(Column(n, f"`{n}`") for n in names))
         groups = []
-        for anchor, own in self._anchors(bases, needed).items():
-            tables = needed | set().union(*(self.member_tables(b) for b in own)) - {anchor}
+        for anchor, own in self._anchors(bases, dims, used, metrics, snap, roles).items():
+            tables = needed | set().union(*(self.member_tables(m) for b in own for m in (b, *places.get(key(b.name), ())))) - {anchor}
             made, shots = [], []
             for b in own:
                 expr, t = self.inline(b.expr, b), self.table_of(b)
@@ -279,16 +286,18 @@ class Planner:
             sets: dict[tuple, list[str]] = {}
             for b in own:
                 if key(b.name) in snap:
-                    order = tuple((self._rewrite(self.inline(d.expr, d), roles), o) for o in b.non_additive if (d := self.find(o.key, view.dimensions) or self.find(o.key.split(".")[-1], view.dimensions)) and key(d.name) not in asked)
-                    sets.setdefault(order, []).append(_column(b))
+                    order = tuple((self._rewrite(self.inline(d.expr, d), roles), o) for o in b.non_additive if (d := self._dimension(o.key)))
+                    left_out = {last(o.key) for o in b.non_additive}
+                    partition = tuple(c.name for c, d in zip(columns, dims, strict=True) if key(d.name) not in left_out)
+                    sets.setdefault((order, partition), []).append(_column(b))
             if sets:
                 for b in own:
                     if not _decomposable(b.expr):
                         raise errors.SemiAdditiveUnsupported(f"metric '{b.name}' must be one plain SUM, COUNT, AVG, MIN or MAX next to a snapshot")
-                shots = [Snapshot(order, tuple(c.expr for c in columns), tuple(ms)) for order, ms in sets.items()]
+                shots = [Snapshot(order, partition, tuple(ms)) for (order, partition), ms in sets.items()]
             groups.append(Group((anchor, self.graph.aliases[anchor].table), self._joins(anchor, tables, roles), where, columns, tuple(made), tuple(shots)))
         if windows:
-            inner = {key(self.metrics[key(m.window.metric.split(".")[-1])].name) for m in windows}
+            inner = {key(self.metrics[last(m.window.metric)].name) for m in windows}
             outputs = tuple(Column(f"in_{k}", self.composed(self.metrics[k])) for k in sorted(inner))
             return Plan(tuple(groups), tuple(names), outputs, tuple((bare(m.name), self._spec(m.window, dims)) for m in windows))
         return Plan(tuple(groups), tuple(names), tuple(Column(bare(m.name), text.spark_sql(self.composed(m))) for m in metrics))
@@ -297,51 +306,77 @@ class Planner:
         plain = lambda n: bare(self.find(n, self.view.dimensions).name)
         left = {key(plain(d)) for d in spec.excluding or ()}
         partition = tuple(plain(d) for d in spec.partition) if spec.partition is not None else tuple(bare(d.name) for d in dims if key(d.name) not in left) if spec.excluding is not None else ()
-        return replace(spec, metric="in_" + key(self.metrics[key(spec.metric.split(".")[-1])].name), partition=partition, order=tuple(replace(o, key=plain(o.key)) for o in spec.order))
+        return replace(spec, metric="in_" + key(self.metrics[last(spec.metric)].name), partition=partition, order=tuple(replace(o, key=plain(o.key)) for o in spec.order))
 
     def _window_dimensions(self, windows: list[Metric], dims: list[Member]) -> None:
         asked = {key(d.name) for d in dims}
         for m in windows:
             w = m.window
             for d in (*(w.excluding or ()), *(w.partition or ()), *(o.key for o in w.order)):
-                if key(d.split(".")[-1]) not in asked:
+                if last(d) not in asked:
                     raise errors.WindowRequiredDimension(f"window metric '{m.name}' needs dimension '{d}'")
 
     def _materialization(self, dims: list[Member], metrics: list[Metric]) -> Materialization | None:
         if any(m.window or any(b.non_additive for b in self.base_metrics(m)) for m in metrics):
             return None
         want = {key(d.name) for d in dims}, {key(m.name) for m in metrics}
-        last = lambda names: {key(n.split(".")[-1]) for n in names}
-        return next((m for m in self.view.materializations if (last(m.dimensions), last(m.metrics)) == want), None)
+        ends = lambda names: {last(n) for n in names}
+        return next((m for m in self.view.materializations if (ends(m.dimensions), ends(m.metrics)) == want), None)
+
+    def _fenced(self, m: Member) -> set[str]:
+        """The tables that a member brings into a grain; one without a table means whatever the base has of that name."""
+        return self.member_tables(m) if m.table else self.tables_in(m.expr, m)
 
     def _fan_traps(self, bases: list[Metric], dims: list[Member], used: list[Member]) -> None:
         for b in bases:
             grain = self.table_of(b)
             for d in dims:
-                for t in self.member_tables(d):
+                for t in self._fenced(d):
                     if self.graph.fans(grain, t):
                         kind = errors.FanTrap if t == self.table_of(d) else errors.FactFanTrap
                         raise kind(f"metric '{b.name}' of {grain} would be inflated by dimension '{d.name}' of {t}")
             for w in used:
-                for t in self.member_tables(w):
+                for t in self._fenced(w):
                     if self.graph.fans(grain, t):
                         raise errors.WhereFanTrap(f"metric '{b.name}' of {grain} would be inflated by filter member '{w.name}' of {t}")
             for t in self.tables_in(b.expr, b):
                 if self.graph.fans(grain, t):
                     raise errors.FactFanTrap(f"metric '{b.name}' of {grain} reads {t}, which fans")
 
-    def _anchors(self, bases: list[Metric], needed: set[str]) -> dict[str, list[Metric]]:
+    def _anchors(self, bases: list[Metric], dims: list[Member], used: list[Member], metrics: list[Metric], snap: dict[str, Metric], roles: dict[str, str]) -> dict[str, list[Metric]]:
         """Metrics by the table that their query starts from: the base, unless some grain would be inflated by it or by another."""
         root = self.graph.root
         grains = {self.table_of(b) for b in bases}
-        split = any(g != root and self._above(g) for g in grains) or any(self.graph.fans(a, b) or self.graph.fans(b, a) for a, b in combinations(sorted(grains), 2))
-        if not split:
+        above = [b for b in bases if self.table_of(b) != root and self._above(self.table_of(b))]
+        crossed = next(((a, b) for a, b in combinations(sorted(grains), 2) if self.graph.fans(a, b) or self.graph.fans(b, a)), None)
+        if not above and crossed is None:
             return {root: bases}
+        if why := self._not_apart(dims, used, metrics, bases, snap, roles, len(grains)):
+            if above:
+                raise errors.RootGrainFanTrap(f"metric '{above[0].name}' of {self.table_of(above[0])} would be repeated for each row of {root}, and can't be asked apart: {why}")
+            raise errors.MetricFanTrap(f"metrics of {crossed[0]} and {crossed[1]} would inflate each other, and can't be asked apart: {why}")
         out: dict[str, list[Metric]] = {}
         for b in bases:
             out.setdefault(self.table_of(b), []).append(b)
         return out
 
+    def _not_apart(self, dims: list[Member], used: list[Member], metrics: list[Metric], bases: list[Metric], snap: dict[str, Metric], roles: dict[str, str], grains: int) -> str | None:
+        """Why a request can't be split by grain: names that only the base table gives a meaning, or roles that a grain can't keep."""
+        for what, members in (("dimension", dims), ("filter member", used)):
+            for m in members:
+                if m.table is None:
+                    return f"{what} '{m.name}' names no table"
+        if snap and roles and any(t in roles for d in dims for t in self.member_tables(d)):
+            return "a snapshot keeps no role of a table"
+        if grains > 1 and any(m.window for m in metrics):
+            return f"window metric '{next(m.name for m in metrics if m.window)}' has one grain"
+        threaded = {r for r in roles.values()}
+        for b in bases:
+            for u in b.using:
+                if key(u) not in threaded:
+                    return f"'{b.name}' uses {u}, which leads to a table that plays no role here"
+        return None
+
     def _above(self, table: str) -> bool:
         """Rows of the table are repeated by a query that starts from the base."""
         return self.graph.fans(table, self.graph.root)

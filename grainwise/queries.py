@@ -93,6 +93,41 @@ METRICS (
   e.event_count AS COUNT(e.event_id)
 )"""
 
+STOCK = """CREATE OR REPLACE SEMANTIC VIEW stock AS
+TABLES (e AS events PRIMARY KEY (event_id), c AS customer PRIMARY KEY (c_custkey))
+RELATIONSHIPS (e_c AS e (user_id) REFERENCES c)
+FACTS (e.doubled AS e.value * 2)
+DIMENSIONS (e.event_type AS e.event_type, e.day AS CAST(e.ts AS DATE), e.hour AS hour(e.ts), c.segment AS c.c_mktsegment, e.size AS CASE WHEN doubled > 100 THEN 'large' ELSE 'small' END)
+METRICS (
+  e.last_hour NON ADDITIVE BY (day, hour) AS SUM(e.value),
+  e.last_day NON ADDITIVE BY (day) AS SUM(e.value),
+  e.first_day NON ADDITIVE BY (day DESC) AS COUNT(e.value),
+  e.total AS SUM(e.value),
+  c.customers AS COUNT(*),
+  n AS CAST(total AS BIGINT)
+)"""
+
+#: The customer table as base: what lies above it would be repeated by its rows.
+NATIONS = """CREATE OR REPLACE SEMANTIC VIEW nations AS
+TABLES (c AS customer PRIMARY KEY (c_custkey) COMMENT = 'buyers', n AS nation PRIMARY KEY (n_nationkey), r AS region PRIMARY KEY (r_regionkey) WITH SYNONYMS = ('area'))
+RELATIONSHIPS (c_n AS c (c_nationkey) REFERENCES n, n_r AS n (n_regionkey) REFERENCES r)
+DIMENSIONS (n.nation AS n.n_name COMMENT = 'where the buyer''s from' WITH SYNONYMS = ('country', 'land'), r.region AS r.r_name LABELS = (FILTER), c.c_name AS upper(c.c_mktsegment))
+METRICS (
+  n.nation_count AS COUNT(*), c.customers AS COUNT(*), n.keys AS SUM(n.n_nationkey),
+  c.richest AS MAX(c.c_acctbal), c.spread AS stddev_pop(c.c_acctbal), c.middle AS percentile_disc(0.5) WITHIN GROUP (ORDER BY c.c_acctbal), c.pieces AS COUNT(DISTINCT c.c_mktsegment),
+  running_nations AS SUM(nation_count) OVER (ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  nation_rank AS RANK(nation_count) OVER (ORDER BY region DESC),
+  mean_of_two AS AVG(nation_count) OVER (ORDER BY region ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)
+)
+COMMENT = 'people by place'"""
+
+#: One to one: an order has one summary at most.
+SUMMARIES = """CREATE OR REPLACE SEMANTIC VIEW summaries AS
+TABLES (o AS orders PRIMARY KEY (o_orderkey), t AS order_totals PRIMARY KEY (total_id) UNIQUE (orderkey))
+RELATIONSHIPS (t_o AS t (orderkey) REFERENCES o)
+DIMENSIONS (t.large AS t.units > 100)
+METRICS (o.orders AS COUNT(*), t.units AS SUM(t.units))"""
+
 ROLES = """CREATE OR REPLACE SEMANTIC VIEW trade AS
 TABLES (t AS trade_rows PRIMARY KEY (l_orderkey, l_linenumber), n AS nation PRIMARY KEY (n_nationkey))
 RELATIONSHIPS (buyer AS t (cust_nation) REFERENCES n, seller AS t (supp_nation) REFERENCES n)
@@ -100,14 +135,20 @@ DIMENSIONS (n.nation AS n.n_name)
 METRICS (t.bought USING (buyer) AS SUM(t.l_quantity), t.sold USING (seller) AS SUM(t.l_quantity))"""
 
 
+_ready: list = []
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """Views over the Parquet tables of a folder."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    e = Engine(spark)
-    for statement in (SALES, ORDERS, EVENTS, ROLES):
-        e.sql(statement)
-    return e
+    """Views over the Parquet tables of a folder; kept for the session and folder that asked last."""
+    here = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if not _ready or _ready[0] != here or not spark.catalog.tableExists("lineitem"):
+        for name in TABLES:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        e = Engine(spark)
+        for statement in (SALES, ORDERS, EVENTS, STOCK, NATIONS, ROLES):
+            e.sql(statement)
+        _ready[:] = [here, e]
+    return _ready[1]
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -136,10 +177,6 @@ def _trade(*metrics: str) -> Query:
     return run
 
 
-def _sql(statement: str) -> Query:
-    return lambda spark, sf_dir: engine(spark, sf_dir).sql(statement)
-
-
 def _yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view written as YAML, read again under another name, gives the same rows."""
     e = engine(spark, sf_dir)
@@ -211,10 +248,102 @@ _add("q_sql_form", lambda spark, sf_dir: _rounded(engine(spark, sf_dir).sql("SEL
 _add("q_sql_top", lambda spark, sf_dir: _rounded(engine(spark, sf_dir).sql("SELECT * FROM semantic_view('sales', dimensions := ['brand'], metrics := ['quantity']) ORDER BY quantity DESC, brand LIMIT 5")), "SELECT p_brand AS brand, round(sum(l_quantity), 4) AS quantity FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 _add("q_yaml_round_trip", _yaml, f"SELECT l_returnflag AS returnflag, round(sum({_NET}), 4) AS revenue FROM lineitem GROUP BY 1")
 _add("q_ddl_round_trip", _ddl_again, "SELECT l_linestatus AS linestatus, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY 1")
-for _name, _statement in {
-    "q_show_views": "SHOW SEMANTIC VIEWS", "q_show_terse": "SHOW TERSE SEMANTIC VIEWS LIKE 'order%'", "q_show_dimensions": "SHOW SEMANTIC DIMENSIONS IN sales", "q_show_metrics": "SHOW SEMANTIC METRICS IN sales",
-    "q_show_facts": "SHOW SEMANTIC FACTS IN sales", "q_show_dimensions_for": "SHOW SEMANTIC DIMENSIONS IN sales FOR METRIC order_count", "q_show_materializations": "SHOW SEMANTIC MATERIALIZATIONS",
-    "q_show_columns": "SHOW COLUMNS IN SEMANTIC VIEW order_view", "q_describe": "DESCRIBE SEMANTIC VIEW sales", "q_get_ddl": "SELECT GET_DDL('SEMANTIC_VIEW', 'sales')", "q_read_yaml": "SELECT READ_YAML_FROM_SEMANTIC_VIEW('sales')",
-    "q_explain": "explain_semantic_view('sales', dimensions := ['segment'], metrics := ['balance', 'revenue'])",
-}.items():
-    _add(_name, _sql(_statement))
+_add("q_semi_two_dims", _ask("stock", dimensions=["event_type", "day"], metrics=["last_hour"]), "SELECT event_type, CAST(ts AS DATE) AS day, round(sum(value) FILTER (WHERE date_trunc('hour', ts) = (SELECT date_trunc('hour', max(x.ts)) FROM events x WHERE x.event_type = e.event_type)), 4) AS last_hour FROM events e GROUP BY 1, 2")
+_add("q_semi_two_sets", _ask("stock", dimensions=["segment"], metrics=["last_day", "first_day", "total"]), "SELECT segment, round(sum(value) FILTER (WHERE d = hi), 4) AS last_day, count(value) FILTER (WHERE d = lo) AS first_day, round(sum(value), 4) AS total FROM (SELECT *, max(d) OVER (PARTITION BY segment) AS hi, min(d) OVER (PARTITION BY segment) AS lo FROM (SELECT c_mktsegment AS segment, CAST(ts AS DATE) AS d, value FROM events LEFT JOIN customer ON user_id = c_custkey)) GROUP BY 1")
+_add("q_semi_in_a_grain", _ask("stock", dimensions=["segment"], metrics=["last_day", "customers"]), "SELECT coalesce(a.segment, b.segment) AS segment, last_day, customers FROM (SELECT segment, round(sum(value) FILTER (WHERE d = hi), 4) AS last_day FROM (SELECT *, max(d) OVER (PARTITION BY segment) AS hi FROM (SELECT c_mktsegment AS segment, CAST(ts AS DATE) AS d, value FROM events LEFT JOIN customer ON user_id = c_custkey)) GROUP BY 1) a FULL JOIN (SELECT c_mktsegment AS segment, count(*) AS customers FROM customer GROUP BY 1) b ON a.segment = b.segment")
+_add("q_dim_over_fact", _ask("stock", dimensions=["size"], metrics=["total"]), "SELECT CASE WHEN value * 2 > 100 THEN 'large' ELSE 'small' END AS size, round(sum(value), 4) AS total FROM events GROUP BY 1")
+_add("q_where_day", _ask("stock", dimensions=["event_type"], metrics=["total"], where="day >= DATE '2024-01-10' AND hour BETWEEN 6 AND 17 AND extract(month from day) < 12"), "SELECT event_type, round(sum(value), 4) AS total FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-10' AND hour(ts) BETWEEN 6 AND 17 AND month(ts) < 12 GROUP BY 1")
+_add("q_derived_cast", _ask("stock", dimensions=["event_type"], metrics=["n"]), "SELECT event_type, CAST(trunc(sum(value)) AS BIGINT) AS n FROM events GROUP BY 1")
+_add("q_alias_like_column", _ask("nations", dimensions=["c_name"], metrics=["customers"]), "SELECT upper(c_mktsegment) AS c_name, count(*) AS customers FROM customer GROUP BY 1")
+_add("q_moments", _ask("nations", dimensions=["region"], metrics=["richest", "spread", "middle", "pieces"]), "SELECT r_name AS region, round(max(c_acctbal), 4) AS richest, round(stddev_pop(c_acctbal), 4) AS spread, round(quantile_disc(c_acctbal, 0.5), 4) AS middle, count(DISTINCT c_mktsegment) AS pieces FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+_PLACES = "SELECT r_name AS region, count(*) AS n FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1"
+_add("q_win_other_grain", _ask("nations", dimensions=["region"], metrics=["running_nations"]), f"WITH p AS ({_PLACES}) SELECT a.region, CAST(sum(b.n) AS BIGINT) AS running_nations FROM p a JOIN p b ON b.region <= a.region GROUP BY 1")
+_add("q_win_shared_inner", _ask("nations", dimensions=["region"], metrics=["running_nations", "nation_rank", "mean_of_two"]), f"WITH p AS ({_PLACES}), q AS (SELECT a.region, a.n, (SELECT z.n FROM p z WHERE z.region < a.region ORDER BY z.region DESC LIMIT 1) AS before FROM p a) SELECT q.region, (SELECT CAST(sum(b.n) AS BIGINT) FROM p b WHERE b.region <= q.region) AS running_nations, (SELECT CAST(count(*) + 1 AS INTEGER) FROM p b WHERE b.region > q.region) AS nation_rank, round(CASE WHEN before IS NULL THEN n ELSE (n + before) / 2 END, 4) AS mean_of_two FROM q")
+
+
+def _one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unique reference: neither side repeats the other."""
+    e = engine(spark, sf_dir)
+    spark.sql("SELECT l_orderkey AS orderkey, l_orderkey * 10 AS total_id, sum(l_quantity) AS units FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey").createOrReplaceTempView("order_totals")
+    e.sql(SUMMARIES)
+    return _rounded(e.query("summaries", ["large"], ["orders", "units"]))
+
+
+_add("q_one_to_one", _one_to_one, "SELECT units > 100 AS large, count(*) AS orders, round(sum(units), 4) AS units FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS units FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
+_add("q_union", lambda spark, sf_dir: engine(spark, sf_dir).sql("SELECT region AS name, customers FROM semantic_view('nations', dimensions := ['region'], metrics := ['customers']) UNION ALL SELECT nation, customers FROM semantic_view('nations', dimensions := ['nation'], metrics := ['customers'])"), "SELECT r_name AS name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1 UNION ALL SELECT n_name, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+
+
+def _changed(*statements: str, ask: str) -> Query:
+    """Statements about the views in a catalog of their own, then a question."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine(spark)
+        e.catalog.views.update({at: v for at, v in engine(spark, sf_dir).catalog.views.items() if v.name in ("sales", "order_view", "event_view", "stock", "nations", "trade")})
+        for s in statements:
+            e.sql(s)
+        return e.sql(ask).drop("created_on")
+
+    return run
+
+
+def _values(columns: str, *rows: tuple) -> str:
+    """A table of strings (and of booleans) as SQL."""
+    cell = lambda x: "CAST(NULL AS VARCHAR)" if x is None else str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
+
+
+def _yaml_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view from YAML inside a statement."""
+    e = engine(spark, sf_dir)
+    return _changed("CREATE SEMANTIC VIEW y FROM YAML $$" + e.read_yaml("nations") + "$$", ask="SELECT * FROM semantic_view('y', dimensions := ['nation'], metrics := ['customers'])")(spark, sf_dir)
+
+
+_VIEW = "database_name, schema_name, semantic_view_name"
+_IN = ("spark_catalog", "main", "nations")
+_LIST = f"{_VIEW}, table_name, name, data_type, synonyms, comment"
+_NATION = "where the buyer's from"
+_add("q_yaml_inline", _yaml_inline, "SELECT n_name AS nation, count(*) AS customers FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+_add("q_show_views", _changed(ask="SHOW SEMANTIC VIEWS LIKE '%n%' IN SCHEMA main"), _values("name, kind, database_name, schema_name, comment", ("event_view", "SEMANTIC_VIEW", "spark_catalog", "main", None), ("nations", "SEMANTIC_VIEW", "spark_catalog", "main", "people by place")))
+_add("q_show_terse", _changed(ask="SHOW TERSE SEMANTIC VIEWS LIKE 'ORDER%'"), _values("name, kind, database_name, schema_name", ("order_view", "SEMANTIC_VIEW", "spark_catalog", "main")))
+_add("q_show_dimensions", _changed(ask="SHOW SEMANTIC DIMENSIONS IN nations"), _values(_LIST, (*_IN, "c", "c_name", "STRING", "", None), (*_IN, "n", "nation", "STRING", "country, land", _NATION), (*_IN, "r", "region", "STRING", "", None)))
+_add("q_show_metrics", _changed(ask="SHOW SEMANTIC METRICS IN nations STARTS WITH 'n' LIMIT 2"), _values(_LIST, (*_IN, "n", "nation_count", "BIGINT", "", None), (*_IN, "", "nation_rank", "INT", "", None)))
+_add("q_show_facts", _changed(ask="SHOW SEMANTIC FACTS IN order_view"), _values(_LIST, ("spark_catalog", "main", "order_view", "o", "price", "DOUBLE", "", None), ("spark_catalog", "main", "order_view", "l", "qty", "DOUBLE", "", None)))
+_add("q_show_dimensions_for", _changed(ask="SHOW SEMANTIC DIMENSIONS IN nations FOR METRIC running_nations"), _values("table_name, name, data_type, required, synonyms, comment", ("n", "nation", "STRING", False, "country, land", _NATION), ("r", "region", "STRING", True, "", None)))
+_add("q_show_materializations", _changed(ask="SHOW SEMANTIC MATERIALIZATIONS"), _values(f'{_VIEW}, name, "table", dimensions, metrics', ("spark_catalog", "main", "sales", "by_segment", "segment_totals", "segment", "revenue, line_count")))
+_COLUMNS = (
+    ("flag", "STRING", "DIMENSION", "l.l_returnflag"), ("orderkey", "BIGINT", "DIMENSION", "o.o_orderkey"), ("priority", "STRING", "DIMENSION", "o.o_orderpriority"), ("segment", "STRING", "DIMENSION", "c.c_mktsegment"),
+    ("price", "DOUBLE", "FACT", "o.o_totalprice"), ("qty", "DOUBLE", "FACT", "l.l_quantity"), ("balance", "DOUBLE", "METRIC", "SUM(c.c_acctbal)"), ("filled", "DOUBLE", "METRIC", "SUM(COALESCE(l.l_quantity, 99))"),
+    ("line_count", "BIGINT", "METRIC", "COUNT(*)"), ("order_count", "BIGINT", "METRIC", "COUNT(*)"), ("total", "DOUBLE", "METRIC", "SUM(o.o_totalprice)"), ("units", "DOUBLE", "METRIC", "SUM(l.l_quantity)"),
+)
+_add("q_show_columns", _changed(ask="SHOW COLUMNS IN SEMANTIC VIEW order_view"), _values(f"{_VIEW}, column_name, data_type, kind, expression, comment", *(("spark_catalog", "main", "order_view", *r, None) for r in _COLUMNS)))
+_SMALL = "CREATE SEMANTIC VIEW small COMMENT = 'as is' AS TABLES (n AS nation PRIMARY KEY (n_nationkey), r AS region PRIMARY KEY (r_regionkey)) RELATIONSHIPS (n_r AS n (n_regionkey) REFERENCES r) FACTS (PRIVATE n.doubled AS n.n_nationkey * 2) DIMENSIONS (r.region AS r.r_name LABELS = (FILTER) COMMENT = 'c') METRICS (n.m AS SUM(doubled), twice AS m * 2)"
+_DESCRIBED = (
+    ("SEMANTIC_VIEW", "small", None, "COMMENT", "as is"),
+    *(("TABLE", a, None, p, x) for a, t, k in (("n", "nation", "n_nationkey"), ("r", "region", "r_regionkey")) for p, x in (("BASE_TABLE_DATABASE_NAME", "spark_catalog"), ("BASE_TABLE_SCHEMA_NAME", "main"), ("BASE_TABLE_NAME", t), ("PRIMARY_KEY", f'["{k}"]'))),
+    *(("RELATIONSHIP", "n_r", "n", p, x) for p, x in (("TABLE", "n"), ("REF_TABLE", "r"), ("FOREIGN_KEY", '["n_regionkey"]'), ("REF_KEY", '["r_regionkey"]'))),
+    *(("FACT", "doubled", "n", p, x) for p, x in (("TABLE", "n"), ("EXPRESSION", "n.n_nationkey * 2"), ("DATA_TYPE", "INT"), ("ACCESS_MODIFIER", "PRIVATE"))),
+    *(("DIMENSION", "region", "r", p, x) for p, x in (("TABLE", "r"), ("EXPRESSION", "r.r_name"), ("DATA_TYPE", "STRING"), ("COMMENT", "c"), ("LABELS", '["FILTER"]'))),
+    *(("METRIC", "m", "n", p, x) for p, x in (("TABLE", "n"), ("EXPRESSION", "SUM(doubled)"), ("DATA_TYPE", "BIGINT"), ("ACCESS_MODIFIER", "PUBLIC"))),
+    *(("DERIVED_METRIC", "twice", "small", p, x) for p, x in (("EXPRESSION", "m * 2"), ("DATA_TYPE", "BIGINT"), ("ACCESS_MODIFIER", "PUBLIC"))),
+)
+_add("q_describe", _changed(_SMALL, ask="DESCRIBE SEMANTIC VIEW small"), _values("object_kind, object_name, parent_entity, property, property_value", *_DESCRIBED))
+_TEXT = "CREATE OR REPLACE SEMANTIC VIEW {} AS\nTABLES (\n    n AS nation PRIMARY KEY (n_nationkey),\n    r AS region PRIMARY KEY (r_regionkey)\n)\nRELATIONSHIPS (\n    n_r AS n (n_regionkey) REFERENCES r\n)\nFACTS (\n    PRIVATE n.doubled AS n.n_nationkey * 2\n)\nDIMENSIONS (\n    r.region AS r.r_name COMMENT = 'c' LABELS = (FILTER)\n)\nMETRICS (\n    n.m AS SUM(doubled),\n    twice AS m * 2\n)\nCOMMENT = 'as is'"
+_add("q_get_ddl", _changed(_SMALL, ask="SELECT GET_DDL('SEMANTIC_VIEW', 'small')"), _values("ddl", (_TEXT.format("small"),)))
+_add("q_get_ddl_qualified", _changed(_SMALL, ask="SELECT upper(GET_DDL('SEMANTIC_VIEW', 'small', true)) AS d, 1 + 1 = 2 AS there"), _values("d, there", (_TEXT.format("main.small").upper(), True)))
+_YAML = "tables:\n- alias: n\n  table: nation\n  primary_key:\n  - n_nationkey\n- alias: r\n  table: region\n  primary_key:\n  - r_regionkey\nrelationships:\n- name: n_r\n  from: n\n  columns:\n  - n_regionkey\n  to: r\nfacts:\n- name: doubled\n  table: n\n  expr: n.n_nationkey * 2\n  access: private\ndimensions:\n- name: region\n  table: r\n  expr: r.r_name\n  comment: c\n  labels:\n  - filter\nmetrics:\n- name: m\n  table: n\n  expr: SUM(doubled)\n- name: twice\n  expr: m * 2\ncomment: as is\n"
+_add("q_read_yaml", _changed(_SMALL, ask="SELECT READ_YAML_FROM_SEMANTIC_VIEW('small')"), _values("yaml", (_YAML,)))
+_add("q_drop", _changed("DROP SEMANTIC VIEW sales", "DROP SEMANTIC VIEW IF EXISTS sales", ask="SHOW TERSE SEMANTIC VIEWS STARTS WITH 's'"), _values("name, kind, database_name, schema_name", ("stock", "SEMANTIC_VIEW", "spark_catalog", "main")))
+_add("q_rename", _changed("ALTER SEMANTIC VIEW nations RENAME TO places", "ALTER SEMANTIC VIEW places SET COMMENT = 'it''s new'", "ALTER SEMANTIC VIEW stock SET COMMENT = 'x'", "ALTER SEMANTIC VIEW stock UNSET COMMENT", ask="SHOW SEMANTIC VIEWS LIKE '%s' LIMIT 5"), _values("name, kind, database_name, schema_name, comment", ("places", "SEMANTIC_VIEW", "spark_catalog", "main", "it's new"), ("sales", "SEMANTIC_VIEW", "spark_catalog", "main", "order lines")))
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an explanation that don't depend on Spark's numbering: request and grains."""
+    lines = engine(spark, sf_dir).explain("nations", ["region"], ["customers", "nation_count"], where="region <> 'ASIA'")
+    return lines.filter("explain_output rlike '^(view|dimensions|metrics|facts|materialization|grain|  [a-z_]+ =)'")
+
+
+_EXPLAINED = (
+    "view: nations", "dimensions: region", "metrics: customers, nation_count", "facts: ", "materialization: none",
+    "grain c: n, r; where (r.r_name) <> 'ASIA'", "  region = r.r_name", "  m_customers = COUNT(*)", "grain n: r; where (r.r_name) <> 'ASIA'", "  region = r.r_name", "  m_nation_count = COUNT(*)",
+)
+_add("q_explain", _explained, _values("explain_output", *((x,) for x in _EXPLAINED)))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from ..errors import ParseError
-from ..model import Definition, Materialization, Member, Metric, Order, Relationship, Table, WindowSpec, bare, key
+from ..errors import DefinitionError, ParseError, SemanticError
+from ..model import Definition, Materialization, Member, Metric, Order, Relationship, Table, WindowSpec, bare, key, parts
 from ..plans import text
 
 CLAUSES = ("TABLES", "RELATIONSHIPS", "FACTS", "DIMENSIONS", "METRICS", "MATERIALIZATIONS")
@@ -25,15 +25,21 @@ def _inside(body: str, at: int) -> int:
     raise ParseError("a parenthesis is not closed")
 
 
+def stored(name: str) -> str:
+    """A name as definitions keep it: without quotes, unless a dot inside it needs them."""
+    plain = bare(name)
+    return '"' + plain.replace('"', '""') + '"' if "." in plain else plain
+
+
 def _names(inner: str) -> tuple[str, ...]:
-    out = tuple(bare(x) for x in text.split(inner))
+    out = tuple(stored(x) if len(parts(x)) == 1 else x.strip() for x in text.split(inner))
     if any(not x for x in out):
         raise ParseError("an empty name in a list")
     return out
 
 
 def string(literal: str) -> str:
-    return literal.strip()[1:-1].replace("''", "'")
+    return text.string_value(literal)
 
 
 def annotations(entry: str) -> tuple[str, dict]:
@@ -56,7 +62,10 @@ def annotations(entry: str) -> tuple[str, dict]:
         else:
             out: dict = {"comment": string(got["comment"]) if "comment" in got else None}
             out["synonyms"] = tuple(string(s) for s in text.split(got["synonyms"])) if got.get("synonyms", "").strip() else ()
-            out["is_filter"] = "filter" in got.get("labels", "").lower()
+            labels = [x.strip().lower() for x in got.get("labels", "").split(",") if x.strip()]
+            if any(x != "filter" for x in labels) or "labels" in got and not labels:
+                raise ParseError(f"LABELS = ({got['labels']}): the one label is FILTER")
+            out["is_filter"] = bool(labels)
             return entry, out
 
 
@@ -90,7 +99,7 @@ def _table(entry: str) -> Table:
         else:
             pk = names
         rest = rest[end:]
-    return Table(bare(m.group(1) or m.group(2).split(".")[-1]), ".".join(bare(p) for p in m.group(2).split(".")), pk, tuple(unique), notes["comment"], notes["synonyms"])
+    return Table(stored(m.group(1) or parts(m.group(2))[-1]), ".".join(p if re.fullmatch(r"\w+", p) else f"`{p}`" for p in parts(m.group(2))), pk, tuple(unique), notes["comment"], notes["synonyms"])
 
 
 def _relationship(entry: str) -> Relationship:
@@ -101,10 +110,10 @@ def _relationship(entry: str) -> Relationship:
 
 
 def _head(name: str) -> tuple[str | None, str]:
-    parts = [bare(p) for p in name.split(".")]
-    if len(parts) > 2:
+    found = [f'"{p}"' if "." in p else p for p in parts(name)]
+    if len(found) > 2:
         raise ParseError(f"'{name}' has more than two parts")
-    return (parts[0], parts[1]) if len(parts) == 2 else (None, parts[0])
+    return (found[0], found[1]) if len(found) == 2 else (None, found[0])
 
 
 def _member(entry: str, dimension: bool) -> Member:
@@ -189,7 +198,7 @@ def _materialization(entry: str) -> Materialization:
 def parse_body(name: str, body: str, comment: str | None = None, schema: str = "main") -> Definition:
     """The clauses after AS, in their fixed order."""
     body = text.without_comments(body).strip().rstrip(";").strip()
-    parts: dict[str, list[str]] = {}
+    clauses: dict[str, list[str]] = {}
     at = 0
     while at < len(body):
         m = re.match(r"\s*([A-Za-z_]+)\s*(\(|=)", body[at:])
@@ -211,23 +220,23 @@ def parse_body(name: str, body: str, comment: str | None = None, schema: str = "
 
             near = min(CLAUSES, key=lambda c: _distance(c, word))
             raise ParseError(f"unknown clause {word}" + (f"; did you mean {near}?" if _distance(near, word) <= 3 else ""))
-        if word in parts:
+        if word in clauses:
             raise ParseError(f"clause {word} is given twice")
-        if parts and CLAUSES.index(word) < max(CLAUSES.index(p) for p in parts):
+        if clauses and CLAUSES.index(word) < max(CLAUSES.index(p) for p in clauses):
             raise ParseError(f"clause {word} is out of order; the order is {', '.join(CLAUSES)}")
         start = at + m.end()
         end = _inside(body, start - 1)
         inner = body[start : end - 1].strip().rstrip(",")
-        parts[word] = text.split(inner) if inner else []
+        clauses[word] = text.split(inner) if inner else []
         at = end
-    if "TABLES" not in parts:
+    if "TABLES" not in clauses:
         raise ParseError("a definition starts with TABLES (...)")
-    if not parts.get("DIMENSIONS") and not parts.get("METRICS"):
+    if not clauses.get("DIMENSIONS") and not clauses.get("METRICS"):
         raise ParseError("a definition needs DIMENSIONS or METRICS")
     return Definition(
-        key(name), tuple(_table(e) for e in parts["TABLES"]), tuple(_relationship(e) for e in parts.get("RELATIONSHIPS", [])),
-        tuple(_member(e, False) for e in parts.get("FACTS", [])), tuple(_member(e, True) for e in parts.get("DIMENSIONS", [])),
-        tuple(_metric(e) for e in parts.get("METRICS", [])), tuple(_materialization(e) for e in parts.get("MATERIALIZATIONS", [])), comment, schema,
+        key(name), tuple(_table(e) for e in clauses["TABLES"]), tuple(_relationship(e) for e in clauses.get("RELATIONSHIPS", [])),
+        tuple(_member(e, False) for e in clauses.get("FACTS", [])), tuple(_member(e, True) for e in clauses.get("DIMENSIONS", [])),
+        tuple(_metric(e) for e in clauses.get("METRICS", [])), tuple(_materialization(e) for e in clauses.get("MATERIALIZATIONS", [])), comment, schema,
     )
 
 
@@ -235,7 +244,7 @@ def parse_body(name: str, body: str, comment: str | None = None, schema: str = "
 
 
 def quoted(name: str) -> str:
-    return name if re.fullmatch(r"[^\W\d]\w*", name) else '"' + name.replace('"', '""') + '"'
+    return name if name.startswith(('"', "`")) or re.fullmatch(r"[^\W\d]\w*", name) else '"' + name.replace('"', '""') + '"'
 
 
 def _notes(m) -> str:
@@ -259,7 +268,7 @@ def _list(names) -> str:
 def render(view: Definition, qualified: bool = False) -> str:
     """A CREATE OR REPLACE statement that defines the same view."""
     member = lambda m: f"{'PRIVATE ' if m.private else ''}{quoted(m.table) + '.' if m.table else ''}{quoted(m.name)}"
-    tables = [f"{quoted(t.alias)} AS {'.'.join(map(quoted, t.table.split('.')))}" + (f" PRIMARY KEY ({_list(t.primary_key)})" if t.primary_key else "") + "".join(f" UNIQUE ({_list(u)})" for u in t.unique) + _notes(t) for t in view.tables]
+    tables = [f"{quoted(t.alias)} AS {t.table.replace('`', '"')}" + (f" PRIMARY KEY ({_list(t.primary_key)})" if t.primary_key else "") + "".join(f" UNIQUE ({_list(u)})" for u in t.unique) + _notes(t) for t in view.tables]
     relationships = [(f"{quoted(r.name)} AS " if r.name else "") + f"{quoted(r.source)} ({_list(r.columns)}) REFERENCES {quoted(r.target)}" + (f" ({_list(r.references)})" if r.references else "") for r in view.relationships]
     metrics = [member(m) + (f" USING ({_list(m.using)})" if m.using else "") + (f" NON ADDITIVE BY ({', '.join(map(order_text, m.non_additive))})" if m.non_additive else "") + f" AS {m.expr}" + _notes(m) for m in view.metrics]
     mats = [f"{quoted(m.name)} AS (TABLE {m.table}, DIMENSIONS ({_list(m.dimensions)}), METRICS ({_list(m.metrics)}))" for m in view.materializations]
@@ -268,3 +277,16 @@ def render(view: Definition, qualified: bool = False) -> str:
     body = "\n".join(f"{word} (\n    " + ",\n    ".join(items) + "\n)" for word, items in clauses if items)
     name = f"{quoted(view.schema)}.{quoted(view.name)}" if qualified else quoted(view.name)
     return f"CREATE OR REPLACE SEMANTIC VIEW {name} AS\n{body}" + (f"\nCOMMENT = {_literal(view.comment)}" if view.comment is not None else "")
+
+
+def check_representable(view: Definition) -> None:
+    """Refuses a definition that its own statement would not define again; GET_DDL could not give it back."""
+    try:
+        again = parse_body(view.name, render(view).split(" AS\n", 1)[1], schema=view.schema)
+    except SemanticError as e:
+        raise DefinitionError(f"view '{view.name}' can't be written as a statement: {e}") from None
+    for field in ("tables", "relationships", "facts", "dimensions", "metrics", "materializations", "comment"):
+        mine, theirs = getattr(view, field), getattr(again, field)
+        if mine != theirs:
+            which = next((a for a, b in zip(mine or (), theirs or (), strict=False) if a != b), mine) if field != "comment" else mine
+            raise DefinitionError(f"view '{view.name}': its statement would define other {field}: {which}")
