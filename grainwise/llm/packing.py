@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import prepare, ranked, written
+from ._spark import prepare, ranked, tidy, written
 from ._words import steps
 
 
@@ -227,6 +227,7 @@ def _slots(lines: np.ndarray):
     return emit
 
 
+@tidy
 def pack(docs: DataFrame, p: Packing = Packing()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import prepare, ranked, text_or_empty, written
+from ._spark import prepare, ranked, text_or_empty, tidy, written
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,7 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+@tidy
 def shard(docs: DataFrame, p: Sharding = Sharding()) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row."""
     spark = docs.sparkSession

@@ -2,7 +2,7 @@
 
 A spot signature starts at an anchor (a very common word) and chains the next ``chain``
 content words (words that are no anchors) that follow it.  A text's fingerprint is the set
-of its hashed signatures; prose has many, boilerplate without common words few.  A text
+of its signatures, as 64-bit hashes; prose has many, boilerplate without common words few.  A text
 without any signature falls back to its runs of ``chain`` words, and one shorter than that
 to its words.  Likeness is the Jaccard similarity of the sets; a pair whose set lengths
 alone rule out the threshold is pruned before any element is compared.
@@ -13,7 +13,8 @@ signatures (the prefix in which two sets at the threshold must meet); equal sets
 node, so groups of copies never become pairs.
 
 Defined results: a null text is the empty text, whose set is empty; two empty sets have
-likeness 1, an empty and another 0; repeated rows have equal fingerprints.
+likeness 1, an empty and another 0; repeated rows have equal fingerprints; rows with one
+doc_id follow each other by their texts, a null doc_id comes first; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import prepare, text_or_empty, written
+from ._spark import prepare, salted_join, text_or_empty, tidy, written
 
 # Common words of the four languages.
 ANCHORS = {
@@ -61,19 +62,19 @@ def with_signatures(df: DataFrame, text: Column, name: str, p: SpotSigs = SpotSi
     # before the j-th anchor, at word i, there are i - j content words: its chain starts there
     made = F.transform(
         F.filter(F.transform(F.col(spots), lambda i, j: F.struct(i.alias("i"), (i - j).alias("c"))), lambda s: s["c"] + p.chain <= F.size(content)),
-        lambda s: F.hash(F.get(F.col(w), s["i"]), *(F.get(F.col(content), s["c"] + k) for k in range(p.chain))),
+        lambda s: F.xxhash64(F.get(F.col(w), s["i"]), *(F.get(F.col(content), s["c"] + k) for k in range(p.chain))),
     )
     runs = F.when(
         F.size(w) >= p.chain,
-        F.transform(F.sequence(F.lit(0), F.size(w) - p.chain), lambda i: F.hash(F.lit(""), *(F.get(F.col(w), i + k) for k in range(p.chain)))),
-    ).otherwise(F.transform(F.col(w), lambda x: F.hash(F.lit(""), x)))
+        F.transform(F.sequence(F.lit(0), F.size(w) - p.chain), lambda i: F.xxhash64(F.lit(""), *(F.get(F.col(w), i + k) for k in range(p.chain)))),
+    ).otherwise(F.transform(F.col(w), lambda x: F.xxhash64(F.lit(""), x)))
     df = df.withColumn(f"{name}_m", made)
     return df.withColumn(name, F.array_sort(F.array_distinct(F.when(F.size(f"{name}_m") > 0, F.col(f"{name}_m")).otherwise(runs)))).drop(w, spots, content, f"{name}_m")
 
 
 def fingerprint(signatures: str) -> Column:
-    """The set as text: eight hexadecimal digits for each signature, in order."""
-    return F.array_join(F.transform(F.col(signatures), lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    """The set as text: sixteen hexadecimal digits for each signature, in order."""
+    return F.array_join(F.transform(F.col(signatures), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def likeness(a: str, b: str, threshold: float = 0.0) -> Column:
@@ -145,6 +146,7 @@ def fingerprints(docs: DataFrame, p: SpotSigs = SpotSigs()) -> DataFrame:
     return both.withColumns({"near_edited": likeness("signatures", "edited_signatures"), "near_next": likeness("signatures", "next_signatures")}).drop("next_text", "next_signatures")
 
 
+@tidy
 def similar_sets(sets: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, signatures): pairs (a, b, likeness) of representatives at the threshold, and membership (doc_id, representative).
 
@@ -152,13 +154,14 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Da
     looked up in its own partition and in the one above.  Rows of empty sets are members
     of their smallest doc_id and pair with nothing.
     """
-    keyed = sets.withColumn("key", F.xxhash64("signatures"))
+    keyed = written(sets.withColumn("key", F.xxhash64("signatures")))  # filters below would make the sets anew for each of their elements
     members = keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("representative")), "key")
     nodes = written(members.filter("doc_id = representative and size(signatures) > 0").select(F.col("doc_id").alias("node"), "signatures").dropDuplicates(["node"]))
     place = F.floor(F.log(F.size("signatures").cast("double")) / F.lit(math.log(1 / threshold)) + 1e-9).cast("int")
     sized = nodes.withColumn("n", F.size("signatures")).withColumn("part", place)
     each = sized.select("node", "n", "part", F.explode("signatures").alias("s"))
-    ranked = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("df", "s")))
+    frequency = written(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).withColumn("n_left", F.col("df")))
+    ranked = salted_join(each, frequency, ["s"], F.xxhash64("node")).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("df", "s")))
     prefix = written(ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("node", "n", "part", "s"))
     other = prefix.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("home"), "s")
     probe = prefix.withColumn("home", F.explode(F.array(F.col("part"), F.col("part") + 1)))

@@ -174,6 +174,25 @@ def test_spot_signatures(docs, empty):
         x, y = set(got[a].signatures), set(got[ids[(i + 1) % len(ids)]].signatures)
         assert math.isclose(got[a].near_next, 1.0 if not x and not y else len(x & y) / len(x | y))
     assert got[60].signatures == got[61].signatures == got[3].signatures
+
+    # spots found apart from the operator: after each anchor the next two words that are none
+    anchors, of_signature = set(spotsigs.SpotSigs().anchors), {}
+
+    def spots(text):
+        w = re.findall(r"[^\W_]+", text.lower())
+        found = set()
+        for i, x in enumerate(w):
+            content = [y for y in w[i + 1 :] if y not in anchors][:2]
+            if x in anchors and len(content) == 2:
+                found.add((x, *content))
+        return found or {("", *w[i : i + 2]) for i in range(len(w) - 1)} or {("", x) for x in w}
+
+    for a in ids:
+        if len(texts[a]) < 1500:
+            here = [spots(t) for t in (texts[a], got[a].edited)]
+            assert [len(x) for x in here] == [len(got[a].signatures), len(got[a].edited_signatures)], a
+            x, y = here
+            assert math.isclose(got[a].near_edited, 1.0 if not x and not y else len(x & y) / len(x | y)), a
     assert spotsigs.fingerprints(empty).count() == 0
     sets = spotsigs.with_signatures(docs.select("doc_id", "text"), spotsigs.text_or_empty(), "signatures").select("doc_id", "signatures")
     pairs, members = spotsigs.similar_sets(sets, 0.5)
