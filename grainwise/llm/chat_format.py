@@ -109,13 +109,19 @@ def _paths(value: Column, levels: int) -> Column:
         below = F.when(inner.isin("[", "{"), F.transform(_paths(e["value"], levels - 1), lambda x: F.concat(joint, x))).otherwise(none)
         return F.concat(F.array(key), below)
 
+    def of_map(fields: Column) -> Column:
+        return F.coalesce(F.flatten(F.transform(F.map_entries(fields), of_field)), none)
+
     def of_object(text: Column) -> Column:
-        fields = F.map_entries(parsed_as(text, "map<string,string>"))
-        return F.coalesce(F.array_distinct(F.flatten(F.transform(fields, of_field))), none)
+        return of_map(parsed_as(text, "map<string,string>"))
+
+    def of_items(objects: Column) -> Column:
+        """Items are mostly objects all; a list with others is read item by item."""
+        each = F.transform(parsed_as(value, "array<string>"), lambda x: F.when(F.substring(F.ltrim(x), 1, 1) == "{", of_object(x)).otherwise(F.array(F.lit(""))))
+        return F.array_distinct(F.flatten(F.when(objects.isNotNull() & ~F.exists(objects, lambda x: x.isNull()), F.transform(objects, of_map)).otherwise(each)))
 
-    items = parsed_as(F.when(start == "[", value), "array<string>")
-    of_items = F.array_distinct(F.flatten(F.transform(items, lambda x: F.when(F.substring(F.ltrim(x), 1, 1) == "{", of_object(x)).otherwise(F.array(F.lit(""))))))
-    return F.when(start == "{", of_object(value)).when(start == "[", F.coalesce(of_items, none)).otherwise(none)
+    of_list = F.get(F.transform(F.array(parsed_as(value, "array<map<string,string>>")), of_items), F.lit(0))
+    return F.when(start == "{", F.array_distinct(of_object(value))).when(start == "[", F.coalesce(of_list, none)).otherwise(none)
 
 
 def schema_paths(record: Column, levels: int = 3) -> Column:
@@ -190,7 +196,8 @@ def loss_spans(turns: Column) -> Column:
     """
     sized = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("loss"), F.length(escaped(t["role"])).alias("head"), F.length(escaped(t["text"])).alias("body")))
     block = F.greatest(F.ceil(F.sqrt(F.size(turns))), F.lit(1)).cast("int")
-    blocks = F.when(F.size(turns) > 0, F.transform(F.sequence(F.lit(0), F.size(turns) - 1, block), lambda i: F.slice(sized, i + 1, block))).otherwise(F.array().cast("array<array<struct<loss:boolean,head:int,body:int>>>"))
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.size(turns) - 1, block), lambda i: F.slice(all_, i + 1, block))
+    blocks = F.when(F.size(turns) > 0, F.get(F.transform(F.array(sized), cut), F.lit(0))).otherwise(F.array().cast("array<array<struct<loss:boolean,head:int,body:int>>>"))
     one = F.array().cast("array<struct<start:int,length:int>>")
 
     def turn(a: Column, t: Column) -> Column:
