@@ -9,8 +9,8 @@ add-0.1 unigram, which has a share for unknown tokens.  A state's probabilities
 1. Words of the training documents are counted by grouped aggregation over the corpus.
 2. Level by level, next tokens are counted for the contexts seen ``least`` times whose parent
    (the context without its oldest token) is retained; next tokens seen ``entry`` times in a
-   context get an entry.  Both floors are numbers of sightings; in small corpora they fall to
-   shares of the training tokens (``share``, ``entry_share``), and never rise with the input.
+   context get an entry.  Both floors are numbers of sightings, the same for every size of the
+   input, so that no evidence counts in a small corpus that would not in a large one.
 3. A context is retained if it passes a divergence test against its parent: tokens x
    Kullback-Leibler divergence must exceed half the number of its entries times the
    logarithm of its tokens.  Growth ends at the first level that retains no context.
@@ -48,13 +48,13 @@ from ._words import U64, Batch, joined_hash, lower_ascii, steps, text_bytes
 class SuffixTree:
     least: int = 32  # sightings of a context
     entry: int = 8  # of a token in a context
-    share: float = 1e-5  # of the training tokens, where that is less than ``least``
+    share: float = 1e-5  # of the training tokens; what ``floors`` proposes, a model takes ``least`` and ``entry``
     entry_share: float = 5e-7
     frequent: int = 1_000_000  # runs that go to the scoring tasks as a table, the most frequent ones
     base_add: float = 0.1
 
     def floors(self, n_train: int) -> tuple[int, int]:
-        """Sightings that a context and an entry need."""
+        """``least`` and ``entry`` to choose for a small corpus, at most those given here; no model takes them by itself."""
         return tuple(max(1, min(most, int(np.ceil(part * n_train)))) for most, part in ((self.least, self.share), (self.entry, self.entry_share)))
 
 
@@ -165,7 +165,7 @@ def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def grow_tree(train: DataFrame, words: DataFrame, n_train: int, ends: int, v_total: float, p: SuffixTree) -> list[DataFrame]:
     """(h, n, value) of the runs that are states or have an entry, by level; ``words`` (h, n) has the end too."""
-    spark, (least, entry) = train.sparkSession, p.floors(n_train)
+    spark, least, entry = train.sparkSession, p.least, p.entry
     tables: list[DataFrame] = []
     contexts = words.filter(F.col("n") >= least).select("h", F.col("n").alias("size"))
     below = words.filter(F.col("n") >= entry).select("h", ((F.col("n") + p.base_add) / v_total).alias("below"))

@@ -358,6 +358,15 @@ def test_suffix_tree_floors_are_numbers_of_sightings():
     assert p.floors(10**5) == (1, 1)
 
 
+def test_suffix_tree_needs_the_same_sightings_at_every_size(spark):
+    """A run of 31 sightings is no context in a small corpus either, one of 32 is."""
+    for n in (31, 32):
+        rows = [(i, "left right") for i in range(n)] + [(-1, "left right")]
+        got = suffix_tree.train_and_score(spark.createDataFrame(rows, "doc_id long, text string"), suffix_tree.F.col("doc_id") < 0)
+        r = got.filter("doc_id = -1").first()
+        assert r.train_tokens == 3 * n and (r.score > r.base_score + 1e-9) == (n == 32)
+
+
 def test_chat_keeps_a_very_long_text(spark):
     long = chat_format.F.expr("repeat('x', 21000000)")
     rows = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant")], "conv_id long, turn long, role string")
