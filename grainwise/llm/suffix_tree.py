@@ -18,7 +18,9 @@ add-0.1 unigram, which has a share for unknown tokens.  A state's probabilities
 5. A text's score adds up one value for each of its runs of tokens: ln of the factor that a
    run brings as a state, plus what its last token gains by an entry after the others.
 
-Counts, states and entries are distributed tables, joined by hashes of their runs.  The most
+A task passes its counts on packed by parts of the runs, which other tasks add up; no row is made
+for a run that is seen less than ``entry`` times.  Counts, states and entries are distributed
+tables, joined by hashes of their runs.  The most
 frequent runs, ``frequent`` at most, go to the scoring tasks as a table of 24 bytes each; only
 rarer ones are joined.  A word that many documents have and no training document is left over
 as a frequent key of that outer join; Spark splits it, as each row brings its own sum.  Bit
@@ -41,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import prepare, tidy, written
-from ._words import U64, Batch, joined_hash, lower_ascii, steps, text_bytes
+from ._words import U64, Batch, joined_hash, lower_ascii, mix, steps, text_bytes
 
 
 @dataclass(frozen=True)
@@ -109,32 +111,85 @@ def may_have(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) != 0
 
 
-_GRAMS = pa.schema([("ctx", pa.int64()), ("suf", pa.int64()), ("is_context", pa.bool_()), ("n", pa.int64())])
-_GRAMS_SQL = "ctx long, suf long, is_context boolean, n long"
+_GRAMS_SQL = "ctx long, suf long, is_context boolean, n long, h long"
+_GRAMS = pa.schema([("ctx", pa.int64()), ("suf", pa.int64()), ("is_context", pa.bool_()), ("n", pa.int64()), ("h", pa.int64())])
+_PARTS_OF_COUNTS = pa.schema([("part", pa.int32()), ("is_context", pa.bool_()), ("counts", pa.binary())])
+_HELD = 700_000  # different runs that a task counts before it passes them on
 
 
-def _grams(shared, d: int):
-    """Counts of runs of d + 1 tokens, as (run without the last, without the first); from level 3 on also of contexts, as (context, its parent)."""
+class _Counts:
+    """Counts of runs of one kind as (group, member): equal pairs are added up by the hash of both."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def put(self, group: np.ndarray, member: np.ndarray, n: np.ndarray | None = None) -> None:
+        self.held.append((group, member, np.ones(len(group), np.int64) if n is None else n))
+        self.size += len(group)
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        group, member, n = (np.concatenate([x[i] for x in self.held]) if self.held else np.zeros(0, t) for i, t in enumerate((np.uint64, np.uint64, np.int64)))
+        self.held.clear()
+        order, at = _runs(joined_hash(group, member))
+        n = np.add.reduceat(n[order], at) if len(at) else n
+        first = order[at]
+        self.held, self.size = [(group[first], member[first], n)], len(first)
+        return self.held[0]
+
+    def clear(self) -> None:
+        self.held, self.size = [], 0
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by their bytes, the highest of which are mostly 0 and take no room once Spark compresses them."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _packed(counts: tuple[np.ndarray, ...], parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, bytes) of counts: a group's hash once for its members.  A pair goes to one part, a group's members to eight at most."""
+    group, member, n = counts
+    part = mix(group + (member >> U64(61)) * U64(0x9E3779B97F4A7C15)) % U64(parts)
+    order = np.argsort((part << U64(40)) | (group >> U64(24)))
+    group, member, n, part = group[order], member[order], n[order], part[order]
+    new = np.ones(len(part), bool)
+    new[1:] = (part[1:] != part[:-1]) | (group[1:] != group[:-1])
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(part)))
+    cuts = np.flatnonzero(np.diff(part[starts].astype(np.int64), prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(starts)], strict=True):
+        lo, hi = starts[a], starts[b] if b < len(starts) else len(part)
+        head = np.array([b - a, hi - lo], "<u4").tobytes()
+        yield int(part[lo]), b"".join((head, group[starts[a:b]].tobytes(), _planes(sizes[a:b]), member[lo:hi].tobytes(), _planes(n[lo:hi])))
+
+
+def _unpacked(raw: memoryview) -> tuple[np.ndarray, ...]:
+    groups, rows = np.frombuffer(raw, "<u4", 2).tolist()
+    read = lambda at, k: np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * k, at).reshape(4, k).T).view("<u4")[:, 0].astype(np.int64)
+    at = 8 + 8 * groups
+    sizes = read(at, groups)
+    members = np.frombuffer(raw, "<u8", rows, at + 4 * groups)
+    return np.repeat(np.frombuffer(raw, "<u8", groups, 8), sizes), members, read(at + 4 * groups + 8 * rows, rows)
+
+
+def _grams(shared, d: int, parts: int):
+    """Counts of runs of d + 1 tokens, as (run without the last, without the first); from level 3 on also of contexts, as (parent, context)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, entries = shared.value
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def put(ctx: np.ndarray, suf: np.ndarray, is_context: bool) -> None:
-            key = joined_hash(ctx, suf)
-            order, at = _runs(key)
-            first = order[at]
-            held.append((key[first], ctx[first], suf[first], np.full(len(at), is_context), np.diff(np.append(at, len(key)))))
-
-        def merged() -> pa.RecordBatch:
-            key, ctx, suf, kind, n = (np.concatenate([x[i] for x in held]) for i in range(5))
-            held.clear()
-            order, at = _runs(np.where(kind, ~key, key))
-            first = order[at]
-            n = np.add.reduceat(n[order], at) if len(at) else n
-            return pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(suf[first].view(np.int64)), pa.array(kind[first]), pa.array(n)], schema=_GRAMS)
-
-        for rows in steps(batches, limit=4 << 20):
+        bits, entry_bits = shared.value
+        entries, contexts = _Counts(), _Counts()
+
+        def passed(last: bool) -> Iterator[pa.RecordBatch]:
+            for counts, is_context in ((entries, False), (contexts, True)):
+                if counts.size <= (0 if last else 2 * _HELD):
+                    continue
+                made = counts.merged()
+                if last or counts.size > _HELD:
+                    counts.clear()
+                    part, raw = zip(*_packed(made, parts), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([is_context] * len(part)), pa.array(raw, pa.binary())], schema=_PARTS_OF_COUNTS)
+
+        for rows in steps(batches):
             x, doc = sequence(_batch(rows))
             parent = x
             for _ in range(d - 1):
@@ -143,38 +198,54 @@ def _grams(shared, d: int):
                 continue
             whole = doc[: len(x) - 1] == doc[d:]  # x has runs of d tokens, the last of which starts no run of d + 1
             if d < 3:
-                at = np.flatnonzero(whole & may_have(contexts, x[:-1]) & may_have(entries, x[1:]))
+                at = np.flatnonzero(whole & may_have(bits, x[:-1]) & may_have(entry_bits, x[1:]))
             else:
-                at = np.flatnonzero(whole & may_have(contexts, parent[1 : len(x)]))
-                put(x[at], parent[at + 1], True)
-                at = at[may_have(entries, x[at + 1])]
-            put(x[at], x[at + 1], False)
-            if sum(len(h[0]) for h in held) > 500_000:
-                yield merged()
-        if held:
-            yield merged()
+                at = np.flatnonzero(whole & may_have(bits, parent[1 : len(x)]))
+                contexts.put(parent[at + 1], x[at])
+                at = at[may_have(entry_bits, x[at + 1])]
+            entries.put(x[at], x[at + 1])
+            yield from passed(False)
+        yield from passed(True)
 
     return emit
 
 
-def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        ctx, suf = (rows.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("ctx", "suf"))
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(joined_hash(ctx, suf).view(np.int64))], names=[*rows.schema.names, "h"])
+def _added_up(entry: int):
+    """The counts of a part from all tasks, of runs seen ``entry`` times: a context's and a suffix's hash, and the whole run's."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, most = (_Counts(), _Counts()), [_HELD, _HELD]
+        for rows in batches:
+            for is_context, raw in zip(rows.column("is_context").to_pylist(), rows.column("counts"), strict=True):
+                counts = both[is_context]
+                counts.put(*_unpacked(memoryview(raw.as_buffer())))
+                if counts.size > 2 * most[is_context]:
+                    counts.merged()
+                    most[is_context] = max(_HELD, counts.size)
+        for is_context, counts in enumerate(both):
+            group, member, n = counts.merged()
+            counts.clear()
+            use = np.flatnonzero(n >= entry)
+            for at in np.split(use, range(1 << 16, len(use), 1 << 16)):
+                a, b = (member[at], group[at]) if is_context else (group[at], member[at])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(at), bool(is_context))), pa.array(n[at]), pa.array(joined_hash(a, b).view(np.int64))], schema=_GRAMS)
+
+    return emit
 
 
 def grow_tree(train: DataFrame, words: DataFrame, n_train: int, ends: int, v_total: float, p: SuffixTree) -> list[DataFrame]:
     """(h, n, value) of the runs that are states or have an entry, by level; ``words`` (h, n) has the end too."""
     spark, least, entry = train.sparkSession, p.least, p.entry
     tables: list[DataFrame] = []
+    parts = max(8, -(-n_train // 1_000_000))  # of the counts: each has a million tokens' runs or so, whatever the input's size
     contexts = words.filter(F.col("n") >= least).select("h", F.col("n").alias("size"))
     below = words.filter(F.col("n") >= entry).select("h", ((F.col("n") + p.base_add) / v_total).alias("below"))
     retained, d = None, 0
     while True:
         d += 1
         bits = spark.sparkContext.broadcast((bit_table(contexts if d < 3 else retained), bit_table(below)))
-        counts = train.mapInArrow(_grams(bits, d), _GRAMS_SQL).groupBy("ctx", "suf", "is_context").agg(F.sum("n").alias("n")).filter(F.col("n") >= entry)
-        counts = written(counts.mapInArrow(_with_hash, _GRAMS_SQL + ", h long"))
+        counts = train.mapInArrow(_grams(bits, d, parts), "part int, is_context boolean, counts binary").repartitionById(parts, F.col("part"))
+        counts = written(counts.mapInArrow(_added_up(entry), _GRAMS_SQL))
         bits.destroy()
         if d >= 3:
             long = counts.filter(F.col("is_context") & (F.col("n") >= least)).select("ctx", F.col("suf").alias("h"), F.col("n").alias("size"))

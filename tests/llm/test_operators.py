@@ -367,6 +367,38 @@ def test_suffix_tree_needs_the_same_sightings_at_every_size(spark):
         assert r.train_tokens == 3 * n and (r.score > r.base_score + 1e-9) == (n == 32)
 
 
+def test_suffix_tree_counts_leave_a_task_packed(monkeypatch):
+    """Counts of runs pass on as a few rows, however many runs there are, and add up to those of all tasks."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(rng.randrange(300))) for _ in range(60)] + [None, "", "x " * 2000]
+    every = SimpleNamespace(value=(np.full(1 << (suffix_tree._BITS - 6), 2**64 - 1, np.uint64),) * 2)
+    monkeypatch.setattr(suffix_tree, "_HELD", 500)
+    for d in (1, 3):
+        packed = [b for half in (texts[:30], texts[30:]) for b in suffix_tree._grams(every, d, 5)(iter([pa.RecordBatch.from_pydict({"text": pa.array(half, pa.string())})]))]
+        parts = pa.Table.from_batches(packed)
+        assert parts.num_rows <= 10 * len(packed)
+        got = Counter()
+        for part in range(5):
+            own = parts.filter(pa.compute.equal(parts["part"], part)).combine_chunks().to_batches()
+            for b in suffix_tree._added_up(2)(iter(own)):
+                for ctx, suf, kind, n, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    assert (ctx, suf, kind) not in got
+                    got[ctx, suf, kind] = n
+        want: Counter = Counter()
+        for t in texts:
+            w = ["$", *(t or "").split(), "$"]
+            for i in range(len(w) - d):
+                want[tuple(w[i : i + d + 1]), False] += 1
+                if d > 2:
+                    want[tuple(w[i : i + d]), True] += 1
+        assert sorted((k[2], n) for k, n in got.items()) == sorted((k[1], n) for k, n in want.items() if n > 1), d
+
+
 def test_chat_keeps_a_very_long_text(spark):
     long = chat_format.F.expr("repeat('x', 21000000)")
     rows = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant")], "conv_id long, turn long, role string")
