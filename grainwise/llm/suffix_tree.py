@@ -74,7 +74,7 @@ _COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts the values, and where each run of equal ones begins in it."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     s = values[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
@@ -115,14 +115,48 @@ _GRAMS_SQL = "ctx long, suf long, is_context boolean, n long, h long"
 _GRAMS = pa.schema([("ctx", pa.int64()), ("suf", pa.int64()), ("is_context", pa.bool_()), ("n", pa.int64()), ("h", pa.int64())])
 _PARTS_OF_COUNTS = pa.schema([("part", pa.int32()), ("is_context", pa.bool_()), ("counts", pa.binary())])
 _HELD = 700_000  # different runs that a task counts before it passes them on
+_CODE_BITS = 20  # of the number of a frequent word
+_OTHER = U64((1 << _CODE_BITS) - 1)  # the member that stands for all next tokens that can't get an entry; among hashes 0 does
+_CODED = 3  # tokens of a context that are sent as numbers, which fit 64 bits
+_PARTS_SQL = "part int, is_context boolean, counts binary"
+
+
+_SLOT = U64(43)  # of a hash, the bits below those that give its slot
+
+
+class Codes:
+    """Places of hashes in an array, found by their highest bits."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.code = np.argsort(hashes)
+        self.sorted = np.append(hashes[self.code], U64(0))
+        self.code = np.append(self.code, 0)
+        self.first = np.zeros((1 << 64 - int(_SLOT)) + 1, np.int32)
+        np.cumsum(np.bincount((self.sorted[:-1] >> _SLOT).astype(np.int64), minlength=1 << 64 - int(_SLOT)), out=self.first[1:])
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it has one."""
+        slot = (h >> _SLOT).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        known = (self.sorted[at] == h) & (at < end)
+        left = np.flatnonzero((at + 1 < end) & ~known)
+        while len(left):
+            at[left] += 1
+            known[left] = self.sorted[at[left]] == h[left]
+            left = left[~known[left]]
+            left = left[at[left] + 1 < end[left]]
+        return self.code[at], known
 
 
 class _Counts:
-    """Counts of runs of one kind as (group, member): equal pairs are added up by the hash of both."""
+    """Counts of runs of one kind as (group, member): equal pairs are added up by both, or by the hash of both where they don't fit 64 bits.
+
+    ``d`` is the number of the group's tokens that are written as numbers, 0 for hashes.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, d: int = 0) -> None:
         self.held: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
+        self.size, self.d = 0, d
 
     def put(self, group: np.ndarray, member: np.ndarray, n: np.ndarray | None = None) -> None:
         self.held.append((group, member, np.ones(len(group), np.int64) if n is None else n))
@@ -131,7 +165,7 @@ class _Counts:
     def merged(self) -> tuple[np.ndarray, ...]:
         group, member, n = (np.concatenate([x[i] for x in self.held]) if self.held else np.zeros(0, t) for i, t in enumerate((np.uint64, np.uint64, np.int64)))
         self.held.clear()
-        order, at = _runs(joined_hash(group, member))
+        order, at = _runs((group << U64(_CODE_BITS)) | member if 0 < self.d < _CODED else joined_hash(group, member))
         n = np.add.reduceat(n[order], at) if len(at) else n
         first = order[at]
         self.held, self.size = [(group[first], member[first], n)], len(first)
@@ -141,16 +175,48 @@ class _Counts:
         self.held, self.size = [], 0
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers by their bytes, the highest of which are mostly 0 and take no room once Spark compresses them."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(x: np.ndarray, width: int = 4) -> bytes:
+    """Numbers by their bytes, the highest of which are mostly 0 and take no room once compressed."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _unplaned(raw, at: int, k: int, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * k, at).reshape(width, k).T).view(f"<u{width}")[:, 0]
+
+
+def _growing(x: np.ndarray) -> bytes:
+    """Numbers in ascending order by their differences, 8 bytes each before they are compressed."""
+    return _planes(np.diff(x, prepend=U64(0)), 8)
+
+
+def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of equal width by the highest bits, so that a part's hashes lie close to each other."""
+    return ((h >> U64(32)) * U64(parts)) >> U64(32)
 
 
-def _packed(counts: tuple[np.ndarray, ...], parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, bytes) of counts: a group's hash once for its members.  A pair goes to one part, a group's members to eight at most."""
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    """Compressed, with the length before it."""
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unsqueezed(raw: memoryview) -> memoryview:
+    return memoryview(_ZSTD.decompress(raw[8:], int.from_bytes(raw[:8], "little")))
+
+
+def _packed(counts: tuple[np.ndarray, ...], parts: int, d: int = 0, whole: bool = False) -> Iterator[tuple[int, bytes]]:
+    """(part, bytes) of counts: a group once for its members.  A pair goes to one part; a group's members to eight at most, if ``whole`` to one."""
     group, member, n = counts
-    part = mix(group + (member >> U64(61)) * U64(0x9E3779B97F4A7C15)) % U64(parts)
-    order = np.argsort((part << U64(40)) | (group >> U64(24)))
+    slice_of = U64(0) if whole else (member & U64(7) if d else member >> U64(61))
+    part = (_part_of(mix(group) if d else group, parts) + slice_of * U64(0x9E3779B1)) % U64(parts)
+    if 0 < d < _CODED and parts <= 1 << 16:  # in order of group and member by now
+        order = np.argsort(part.astype(np.uint16), kind="stable")
+    elif d:
+        order = np.lexsort((member, group, part))
+    else:
+        order = np.argsort((part << U64(40)) | (group >> U64(24)))
     group, member, n, part = group[order], member[order], n[order], part[order]
     new = np.ones(len(part), bool)
     new[1:] = (part[1:] != part[:-1]) | (group[1:] != group[:-1])
@@ -159,76 +225,134 @@ def _packed(counts: tuple[np.ndarray, ...], parts: int) -> Iterator[tuple[int, b
     cuts = np.flatnonzero(np.diff(part[starts].astype(np.int64), prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(starts)], strict=True):
         lo, hi = starts[a], starts[b] if b < len(starts) else len(part)
-        head = np.array([b - a, hi - lo], "<u4").tobytes()
-        yield int(part[lo]), b"".join((head, group[starts[a:b]].tobytes(), _planes(sizes[a:b]), member[lo:hi].tobytes(), _planes(n[lo:hi])))
+        head, groups = np.array([d, b - a, hi - lo], "<u4").tobytes(), group[starts[a:b]]
+        members = _planes(member[lo:hi]) if d else member[lo:hi].tobytes()
+        yield int(part[lo]), _squeezed(b"".join((head, _growing(groups), _planes(sizes[a:b]), members, _planes(n[lo:hi]))))
 
 
-def _unpacked(raw: memoryview) -> tuple[np.ndarray, ...]:
-    groups, rows = np.frombuffer(raw, "<u4", 2).tolist()
-    read = lambda at, k: np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * k, at).reshape(4, k).T).view("<u4")[:, 0].astype(np.int64)
-    at = 8 + 8 * groups
-    sizes = read(at, groups)
-    members = np.frombuffer(raw, "<u8", rows, at + 4 * groups)
-    return np.repeat(np.frombuffer(raw, "<u8", groups, 8), sizes), members, read(at + 4 * groups + 8 * rows, rows)
+def _unpacked(squeezed: memoryview) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_packed`` has written: d, groups, members, counts."""
+    raw = _unsqueezed(squeezed)
+    d, groups, rows = np.frombuffer(raw, "<u4", 3).tolist()
+    at = 12
+    group = np.cumsum(_unplaned(raw, at, groups, 8), dtype=np.uint64)
+    at += 8 * groups
+    sizes = _unplaned(raw, at, groups)
+    at += 4 * groups
+    member = _unplaned(raw, at, rows).astype(np.uint64) if d else np.frombuffer(raw, "<u8", rows, at)
+    at += (4 if d else 8) * rows
+    return d, np.repeat(group, sizes), member, _unplaned(raw, at, rows).astype(np.int64)
 
 
 def _grams(shared, d: int, parts: int):
-    """Counts of runs of d + 1 tokens, as (run without the last, without the first); from level 3 on also of contexts, as (parent, context)."""
+    """Counts of runs of d + 1 tokens, as (run without the last, without the first); from level 3 on also of contexts.
+
+    There a context's members are all that followed it, those that can't get an entry as one, so that its own count is their sum.
+    Runs of frequent words go as the words' numbers, (run without the last, last); the others as hashes.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, entry_bits = shared.value
-        entries, contexts = _Counts(), _Counts()
+        bits, entry_bits, *frequent = shared.value
+        codes = Codes(frequent[0]) if frequent and d <= _CODED else None
+        coded, entries, contexts = _Counts(d), _Counts(), _Counts()
 
         def passed(last: bool) -> Iterator[pa.RecordBatch]:
-            for counts, is_context in ((entries, False), (contexts, True)):
+            for counts, is_context in ((coded, d > 2), (entries, False), (contexts, True)):
                 if counts.size <= (0 if last else 2 * _HELD):
                     continue
                 made = counts.merged()
                 if last or counts.size > _HELD:
                     counts.clear()
-                    part, raw = zip(*_packed(made, parts), strict=True)
+                    part, raw = zip(*_packed(made, parts, counts.d, is_context), strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([is_context] * len(part)), pa.array(raw, pa.binary())], schema=_PARTS_OF_COUNTS)
 
         for rows in steps(batches):
-            x, doc = sequence(_batch(rows))
-            parent = x
+            tokens, doc = sequence(_batch(rows))
+            parent = x = tokens
             for _ in range(d - 1):
                 parent, x = x, joined_hash(x[:-1], x[1:])
             if len(x) < 2:
                 continue
             whole = doc[: len(x) - 1] == doc[d:]  # x has runs of d tokens, the last of which starts no run of d + 1
             if d < 3:
-                at = np.flatnonzero(whole & may_have(bits, x[:-1]) & may_have(entry_bits, x[1:]))
+                at = np.flatnonzero(whole & may_have(bits, x[:-1]))
+                at = at[may_have(entry_bits, x[at + 1])]
+                can = np.ones(len(at), bool)
             else:
                 at = np.flatnonzero(whole & may_have(bits, parent[1 : len(x)]))
-                contexts.put(parent[at + 1], x[at])
-                at = at[may_have(entry_bits, x[at + 1])]
-            entries.put(x[at], x[at + 1])
+                can = may_have(entry_bits, x[at + 1])
+            if codes:
+                code, known = codes.of(tokens)
+                code = code.astype(np.uint64)
+                of_group = known[at]
+                group = code[at]
+                for j in range(1, d):
+                    of_group = of_group & known[at + j]
+                    group = (group << U64(_CODE_BITS)) | code[at + j]
+                both = of_group & known[at + d]
+                if d < 3:
+                    coded.put(group[both], code[at[both] + d])
+                    at, can = at[~both], can[~both]
+                else:  # all that followed a context is counted in one way, so that its sum is known in one place
+                    coded.put(group[of_group], np.where(both & can, code[at + d], _OTHER)[of_group])
+                    rare = at[of_group & can & ~both]
+                    entries.put(x[rare], x[rare + 1])
+                    at, can = at[~of_group], can[~of_group]
+            if d < 3:
+                entries.put(x[at], x[at + 1])
+            else:
+                contexts.put(x[at], np.where(can, x[at + 1], U64(0)))
             yield from passed(False)
         yield from passed(True)
 
     return emit
 
 
-def _added_up(entry: int):
-    """The counts of a part from all tasks, of runs seen ``entry`` times: a context's and a suffix's hash, and the whole run's."""
+def _added_up(entry: int, shared=None):
+    """The counts of a part from all tasks, of runs seen ``entry`` times: a context's and a suffix's hash, and the whole run's; contexts have no suffix."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, most = (_Counts(), _Counts()), [_HELD, _HELD]
+        kinds: dict[tuple[bool, int], _Counts] = {}
+        most: dict[tuple[bool, int], int] = {}
         for rows in batches:
             for is_context, raw in zip(rows.column("is_context").to_pylist(), rows.column("counts"), strict=True):
-                counts = both[is_context]
-                counts.put(*_unpacked(memoryview(raw.as_buffer())))
-                if counts.size > 2 * most[is_context]:
+                d, *got = _unpacked(memoryview(raw.as_buffer()))
+                counts = kinds.setdefault((is_context, d), _Counts(d))
+                counts.put(*got)
+                if counts.size > 2 * most.get((is_context, d), _HELD):
                     counts.merged()
-                    most[is_context] = max(_HELD, counts.size)
-        for is_context, counts in enumerate(both):
+                    most[is_context, d] = max(_HELD, counts.size)
+
+        def made(ctx: np.ndarray, suf: np.ndarray, is_context: bool, n: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64)), pa.array(suf.view(np.int64)), pa.array(np.full(len(ctx), is_context)), pa.array(n), pa.array(h.view(np.int64))], schema=_GRAMS)
+
+        def hashes(d: int, group: np.ndarray) -> list[np.ndarray]:
+            word = shared.value[2]
+            return [word[((group >> U64(_CODE_BITS * (d - 1 - j))) & _OTHER).astype(np.int64)] for j in range(d)]
+
+        def joined(run: list[np.ndarray]) -> np.ndarray:
+            while len(run) > 1:
+                run = [joined_hash(a, b) for a, b in zip(run, run[1:], strict=False)]
+            return run[0]
+
+        for (is_context, d), counts in kinds.items():
             group, member, n = counts.merged()
             counts.clear()
-            use = np.flatnonzero(n >= entry)
+            if is_context:
+                order, at = _runs(group)
+                size = np.add.reduceat(n[order], at) if len(at) else n
+                use = np.flatnonzero(size >= entry)
+                for some in np.split(use, range(1 << 16, len(use), 1 << 16)):
+                    ctx = group[order[at[some]]]
+                    ctx = joined(hashes(d, ctx)) if d else ctx
+                    yield made(ctx, np.zeros(len(ctx), np.uint64), True, size[some], ctx)
+            use = np.flatnonzero((n >= entry) & (member != (_OTHER if d else U64(0))))
             for at in np.split(use, range(1 << 16, len(use), 1 << 16)):
-                a, b = (member[at], group[at]) if is_context else (group[at], member[at])
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(at), bool(is_context))), pa.array(n[at]), pa.array(joined_hash(a, b).view(np.int64))], schema=_GRAMS)
+                a, b = group[at], member[at]
+                if d:
+                    run = [*hashes(d, a), shared.value[2][b.astype(np.int64)]]
+                    a, b = joined(run[:-1]), joined(run[1:])
+                yield made(a, b, False, n[at], joined_hash(a, b))
 
     return emit
 
@@ -240,16 +364,17 @@ def grow_tree(train: DataFrame, words: DataFrame, n_train: int, ends: int, v_tot
     parts = max(8, -(-n_train // 1_000_000))  # of the counts: each has a million tokens' runs or so, whatever the input's size
     contexts = words.filter(F.col("n") >= least).select("h", F.col("n").alias("size"))
     below = words.filter(F.col("n") >= entry).select("h", ((F.col("n") + p.base_add) / v_total).alias("below"))
+    named = words.filter(F.col("n") >= max(entry, _least_frequent(words, int(_OTHER)))).select("h", "n").toArrow()
+    named = named["h"].to_numpy().view(np.uint64)[np.argsort(-named["n"].to_numpy())]
     retained, d = None, 0
     while True:
         d += 1
-        bits = spark.sparkContext.broadcast((bit_table(contexts if d < 3 else retained), bit_table(below)))
-        counts = train.mapInArrow(_grams(bits, d, parts), "part int, is_context boolean, counts binary").repartitionById(parts, F.col("part"))
-        counts = written(counts.mapInArrow(_added_up(entry), _GRAMS_SQL))
+        bits = spark.sparkContext.broadcast((bit_table(contexts if d < 3 else retained), bit_table(below), *([named] if d <= _CODED else [])))
+        counts = train.mapInArrow(_grams(bits, d, parts), _PARTS_SQL).repartitionById(parts, F.col("part"))
+        counts = written(counts.mapInArrow(_added_up(entry, bits), _GRAMS_SQL))
         bits.destroy()
-        if d >= 3:
-            long = counts.filter(F.col("is_context") & (F.col("n") >= least)).select("ctx", F.col("suf").alias("h"), F.col("n").alias("size"))
-            contexts = long.join(retained, "h", "left_semi").select(F.col("ctx").alias("h"), "size")
+        if d >= 3:  # its entries' suffixes are entries of its parent, which is retained then
+            contexts = counts.filter(F.col("is_context") & (F.col("n") >= least)).select(F.col("ctx").alias("h"), F.col("n").alias("size"))
         grams = counts.filter(~F.col("is_context")).select("h", "ctx", "suf", "n")
         both = written(grams.join(contexts.withColumnRenamed("h", "ctx"), "ctx").join(below.withColumnRenamed("h", "suf"), "suf"))
         sums = both.groupBy("ctx", "size").agg(
@@ -274,27 +399,50 @@ def grow_tree(train: DataFrame, words: DataFrame, n_train: int, ends: int, v_tot
             contexts = grams.filter((F.col("n") >= least) & (F.col("suf") != end)).join(retained.withColumnRenamed("h", "suf"), "suf", "left_semi").select("h", F.col("n").alias("size"))
 
 
-_HEAD = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())])
-_PARTS = pa.schema([("row", pa.int64()), ("h", pa.int64()), ("times", pa.int32()), ("head", _HEAD)])
-_PARTS_SQL = "row long, h long, times int, head struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,gain:double>"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())])
+_SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double"
+_PASSED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("raw", pa.binary())])
+_PASSED_SQL = "part int, chunk long, kind int, raw binary"
+_FEATURES, _ASKED, _STATE, _ANSWERS = range(4)
 
 
-def _score_docs(shared, add: float, v_total: float):
-    """For each document: a head with what frequent runs give (``times`` 0), and rows for its rarer words (how often) and runs (-1)."""
+def _passed(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PASSED, strict=True)], schema=_PASSED)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, n, value, bits, length = shared.value
 
-        def found(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            i = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-            return i, hot[i] == h
+def _by_part(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, from, to) of the parts in a sorted array."""
+    cuts = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+    return list(zip(part[cuts].tolist(), cuts.tolist(), np.append(cuts, len(part))[1:].tolist(), strict=True))
+
+
+def _score_docs(shared, parts: int):
+    """Chunks of documents: their state, with what frequent runs give and where rarer words (how often) and runs (-1) stand, and the hashes they ask each part for, once each."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, n, value, bits, length, add, v_total = shared.value
+        found, log_n = Codes(hot).of, np.log10((n + add) / v_total)
+        heads: list[pa.RecordBatch] = []
+        seen: list[tuple[np.ndarray, ...]] = []  # (document, hash, times)
+        chunk, n_docs, size = 0, 0, 0
+
+        def chunk_ends() -> Iterator[pa.RecordBatch]:
+            doc, h, times = (np.concatenate(x) for x in zip(*seen, strict=True))
+            order, at = _runs(h)
+            doc, times, asked = doc[order], times[order], h[order[at]]
+            cuts = _by_part(_part_of(asked, parts))
+            head = pa.Table.from_batches(heads).combine_chunks().to_batches()[0].serialize().to_pybytes()
+            sizes = np.array([len(head), len(cuts), len(asked), len(doc)], "<u4").tobytes()
+            where = np.array([(part, to) for part, _, to in cuts], "<u4").tobytes()
+            state = b"".join((sizes, head, where, _planes(np.diff(np.append(at, len(h)))), _planes(doc), _planes(times + 1)))
+            yield _passed([(chunk % parts, chunk, _STATE, _squeezed(state)), *((part, chunk, _ASKED, _squeezed(_growing(asked[a:b]))) for part, a, b in cuts)])
 
         for rows in steps(batches):
             batch = _batch(rows)
             doc, word = batch.doc, batch.word_hash
             i, known = found(word)
             i, hot_doc = i[known], doc[known]
-            base = np.bincount(hot_doc, np.log10((n[i] + add) / v_total), batch.n_docs).astype(float)  # of no rows bincount gives integers
+            base = np.bincount(hot_doc, log_n[i], batch.n_docs).astype(float)  # of no rows bincount gives integers
             gain = np.bincount(hot_doc, value[i], batch.n_docs).astype(float)
             n_known = np.bincount(hot_doc[n[i] > 0], minlength=batch.n_docs)
             rest_doc, rest = doc[~known], word[~known]
@@ -324,15 +472,116 @@ def _score_docs(shared, add: float, v_total: float):
             i, known = found(np.array([start]))
             if known[0]:  # the end's value as a state
                 gain = gain + value[i[0]]
-            d = np.concatenate([*docs, np.arange(batch.n_docs)])
-            m = len(d) - batch.n_docs
-            is_head = np.arange(len(d)) >= m
-            heads = pa.StructArray.from_arrays([rows.column("doc_id"), rows.column("held_out"), *map(pa.array, (batch.counts + 1, n_known.astype(np.int64), base, gain))], fields=list(_HEAD))
-            row = rows.column("row").to_numpy(zero_copy_only=False)
-            # a head meets no run, or one 0 times; its document's number only spreads it
-            h = np.concatenate([*(x.view(np.int64) for x in hashes), row])
-            t = np.concatenate([*times, np.zeros(batch.n_docs, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(row[d]), pa.array(h), pa.array(t), heads.take(pa.array(d, mask=~is_head))], schema=_PARTS)
+            if not heads:
+                chunk = rows.column("row")[0].as_py()
+            heads.append(pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), *map(pa.array, (batch.counts + 1, n_known.astype(np.int64), base, gain))], schema=_SCORED))
+            seen.append((np.concatenate(docs).astype(np.int64) + n_docs, np.concatenate(hashes), np.concatenate(times).astype(np.int64)))
+            n_docs, size = n_docs + batch.n_docs, size + len(seen[-1][0])
+            if size > _HELD:
+                yield from chunk_ends()
+                heads.clear()
+                seen.clear()
+                n_docs, size = 0, 0
+        if heads:
+            yield from chunk_ends()
+
+    return emit
+
+
+def _pack_features(parts: int):
+    """Tables of (h, c, value) by parts of the hashes, packed."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def made() -> pa.RecordBatch:
+            h, c, value = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]).view(np.uint64) for i in range(3))
+            order = np.argsort(h)
+            h, c, value = h[order], c[order], value[order]
+            held.clear()
+            return _passed([(part, 0, _FEATURES, _squeezed(b"".join((np.array([to - at], "<u8").tobytes(), _growing(h[at:to]), _planes(c[at:to], 8), _planes(value[at:to], 8))))) for part, at, to in _by_part(_part_of(h, parts))])
+
+        for rows in batches:
+            if rows.num_rows:
+                held.append(rows)
+            if sum(b.num_rows for b in held) > _HELD:
+                yield made()
+        if held:
+            yield made()
+
+    return emit
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count and value of each hash that a chunk asks a part for, in its order, 0 where there is none; states pass."""
+    tables: list[tuple[np.ndarray, ...]] = []
+    asked: list[tuple[int, int, memoryview]] = []
+    for rows in batches:
+        for part, chunk, kind, raw in zip(*(rows.column(i).to_pylist() for i in range(3)), rows.column("raw"), strict=True):
+            raw = memoryview(raw.as_buffer())
+            if kind == _STATE:
+                yield _passed([(part, chunk, kind, bytes(raw))])
+            elif kind == _ASKED:
+                asked.append((part, chunk, raw))
+            else:
+                raw = _unsqueezed(raw)
+                k = int(np.frombuffer(raw, "<u8", 1)[0])
+                tables.append((np.cumsum(_unplaned(raw, 8, k, 8), dtype=np.uint64), _unplaned(raw, 8 + 8 * k, k, 8), _unplaned(raw, 8 + 16 * k, k, 8)))
+    h, c, value = (np.concatenate(x) for x in zip(*tables, strict=True)) if tables else (np.full(1, END, np.uint64), *np.zeros((2, 1), np.uint64))
+    order = np.argsort(h)
+    h, c, value = h[order], c[order], value[order]
+    for part, chunk, raw in asked:
+        raw = _unsqueezed(raw)
+        want = np.cumsum(_unplaned(raw, 0, len(raw) // 8, 8), dtype=np.uint64)
+        at = np.minimum(np.searchsorted(h, want), len(h) - 1)
+        has = h[at] == want
+        yield _passed([(part, chunk, _ANSWERS, _squeezed(_planes(np.where(has, c[at], U64(0)), 8) + _planes(np.where(has, value[at], U64(0)), 8)))])
+
+
+def _scored(add: float, v_total: float):
+    """The documents of each chunk once its state and all its answers are there."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[int, memoryview] = {}
+        answers: dict[int, dict[int, memoryview]] = {}
+        asked: dict[int, int] = {}
+
+        def made(chunk: int) -> pa.RecordBatch:
+            raw, got = states.pop(chunk), answers.pop(chunk, {})
+            head_size, n_parts, n_asked, n_seen = np.frombuffer(raw, "<u4", 4).tolist()
+            head = pa.ipc.read_record_batch(pa.py_buffer(raw[16 : 16 + head_size]), _SCORED)
+            at = 16 + head_size
+            where = np.frombuffer(raw, "<u4", 2 * n_parts, at).reshape(-1, 2).tolist()
+            at += 8 * n_parts
+            reps = _unplaned(raw, at, n_asked).astype(np.int64)
+            doc = _unplaned(raw, at + 4 * n_asked, n_seen).astype(np.int64)
+            times = _unplaned(raw, at + 4 * n_asked + 4 * n_seen, n_seen).astype(np.int64) - 1
+            c, value, lo = np.zeros(n_asked, np.int64), np.zeros(n_asked), 0
+            for part, hi in where:
+                one = _unsqueezed(got[part])
+                c[lo:hi] = _unplaned(one, 0, hi - lo, 8).view(np.int64)
+                value[lo:hi] = _unplaned(one, 8 * (hi - lo), hi - lo, 8).view(np.float64)
+                lo = hi
+            c, value, is_word = np.repeat(c, reps), np.repeat(value, reps), times > 0
+            summed = lambda at, x: np.bincount(doc[at], x, head.num_rows)
+            word, run = np.flatnonzero(is_word), slice(None)
+            n_known = head.column("n_known").to_numpy() + summed(word, times[word] * (c[word] > 0)).astype(np.int64)
+            base = head.column("base").to_numpy() + summed(word, times[word] * np.log10((c[word] + add) / v_total))
+            gain = head.column("gain").to_numpy() + summed(run, value * np.abs(times))
+            return pa.RecordBatch.from_arrays([head.column("doc_id"), head.column("held_out"), head.column("n_tokens"), *map(pa.array, (n_known, base, gain))], schema=_SCORED)
+
+        for rows in batches:
+            for part, chunk, kind, raw in zip(*(rows.column(i).to_pylist() for i in range(3)), rows.column("raw"), strict=True):
+                raw = memoryview(raw.as_buffer())
+                if kind == _STATE:
+                    states[chunk] = _unsqueezed(raw)
+                    asked[chunk] = int(np.frombuffer(states[chunk], "<u4", 2)[1])
+                else:
+                    answers.setdefault(chunk, {})[part] = raw
+                if chunk in states and len(answers.get(chunk, ())) == asked[chunk]:
+                    yield made(chunk)
+        if states or answers:
+            raise RuntimeError(f"{len(states)} chunks of documents lack answers")
 
     return emit
 
@@ -363,7 +612,7 @@ def train_and_score(docs: DataFrame, held_out: Column, p: SuffixTree = SuffixTre
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     train = rows.filter(~F.col("held_out")).select("text")
     words = written(train.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    ends = train.count()
+    n_rows, ends = rows.agg(F.count(F.lit(1)), F.count(F.when(~F.col("held_out"), 1))).first()
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, v = totals["n"] + ends, totals["v"] + (ends > 0)
     v_total = n_train + p.base_add * (v + 1)
@@ -380,16 +629,11 @@ def train_and_score(docs: DataFrame, held_out: Column, p: SuffixTree = SuffixTre
         table = (np.zeros(1, np.int64), np.zeros(1), np.zeros(1))
     bits = bit_table(features.filter("value <> 0 or c is null"))
     # a level brings runs up to one token longer than its contexts
-    shared = spark.sparkContext.broadcast((table[0].view(np.uint64), *table[1:], bits, len(tables) // 2 + 1))
-    parts = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score_docs(shared, p.base_add, v_total), _PARTS_SQL)
-    base = F.log10((F.coalesce("c", F.lit(0)) + p.base_add) / v_total)
-    times, of_head = F.col("times"), lambda name: F.coalesce(F.col("head")[name], F.lit(0))
-    both = parts.join(features.select("h", "c", "value"), "h", "left").select(
-        "row", "head.doc_id", "head.held_out", "head.n_tokens",
-        (of_head("gain") + F.coalesce(F.col("value") * F.abs(times), F.lit(0.0))).alias("gain"),
-        (of_head("n_known") + F.when((times > 0) & (F.col("c") > 0), times).otherwise(0)).alias("n_known"),
-        (of_head("base") + F.when(times > 0, times * base).otherwise(0.0)).alias("base"),
-    )
-    sums = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")))
+    shared = spark.sparkContext.broadcast((table[0].view(np.uint64), *table[1:], bits, len(tables) // 2 + 1, p.base_add, v_total))
+    parts = max(8, -(-(n_train * n_rows // ends if ends else 300 * n_rows) // 1_000_000))  # of what is asked for: each has a million tokens' or so
+    asked = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score_docs(shared, parts), _PASSED_SQL)
+    known = features.select("h", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("value", F.lit(0.0)).alias("value")).mapInArrow(_pack_features(parts), _PASSED_SQL)
+    answers = asked.union(known).repartitionById(parts, F.col("part")).mapInArrow(_answered, _PASSED_SQL)
+    sums = answers.repartition(parts, "chunk").mapInArrow(_scored(p.base_add, v_total), _SCORED_SQL)
     base_score = F.col("base") + float(np.log10((ends + p.base_add) / v_total))
     return sums.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("gain") / float(np.log(10))).alias("score"))

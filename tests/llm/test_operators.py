@@ -399,6 +399,72 @@ def test_suffix_tree_counts_leave_a_task_packed(monkeypatch):
         assert sorted((k[2], n) for k, n in got.items()) == sorted((k[1], n) for k, n in want.items() if n > 1), d
 
 
+def test_suffix_tree_frequent_words_go_as_numbers(monkeypatch):
+    """Runs of frequent words take less room than their hashes; all counts are the same, whichever words have numbers."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(rng.randrange(1, 300), rng.randrange(1, 300))}" for _ in range(rng.randrange(400))) for _ in range(60)] + [None, "", "x " * 2000]
+    batch = suffix_tree._batch(pa.RecordBatch.from_pydict({"text": pa.array([" ".join(f"w{i}" for i in range(1, 300)) + " x"])}))
+    words = np.append(batch.word_hash, np.uint64(suffix_tree.END))
+    bits = np.full(1 << (suffix_tree._BITS - 6), 2**64 - 1, np.uint64)
+    some = np.random.default_rng(3).integers(0, 2**63, len(bits)).astype(np.uint64) * np.uint64(2)  # half of the suffixes get no entry
+    monkeypatch.setattr(suffix_tree, "_HELD", 2000)
+    for d in (1, 2, 3):
+        made, room = [], []
+        for known in ([], [words], [words[::3]]):
+            shared = SimpleNamespace(value=(bits, some, *known))
+            packed = [b for half in (texts[:30], texts[30:]) for b in suffix_tree._grams(shared, d, 5)(iter([pa.RecordBatch.from_pydict({"text": pa.array(half, pa.string())})]))]
+            parts = pa.Table.from_batches(packed)
+            room.append(sum(len(x.as_py()) for x in parts["counts"]))
+            rows = [r for part in range(5) for b in suffix_tree._added_up(2, shared)(iter(parts.filter(pa.compute.equal(parts["part"], part)).to_batches())) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            assert len({r[:3] for r in rows}) == len(rows)
+            made.append(sorted(rows))
+        assert made[0] and made[0] == made[1] == made[2], d
+        assert any(r[2] for r in made[0]) == (d == 3) and room[1] < 0.7 * room[0]
+
+
+def test_suffix_tree_scores_ask_once_for_a_run(monkeypatch):
+    """Scoring makes a few rows for each chunk of documents, however many rare words and runs they have, and adds up all of their values."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    texts = [" ".join(f"w{rng.randrange(1, 900)}" for _ in range(rng.randrange(300))) for _ in range(200)] + [None, "", "x y " * 500]
+    vocabulary = [*(f"w{i}" for i in range(1, 900)), "x", "y"]
+    hash_of = dict(zip(vocabulary, suffix_tree._batch(pa.RecordBatch.from_pydict({"text": pa.array([" ".join(vocabulary)])})).word_hash.tolist(), strict=True))
+    one = lambda h: np.array([h], np.uint64)
+    run_hash = lambda a, b: int(suffix_tree.joined_hash(one(hash_of[a]), one(hash_of[b]))[0])
+    count = {w: i % 50 + 1 for i, w in enumerate(vocabulary) if i % 4}
+    value = {w: i / 7 for i, w in enumerate(vocabulary) if i % 5 == 1 and w in count}
+    runs = {(a, b): rng.random() for t in texts for a, b in zip((t or "").split(), (t or "").split()[1:], strict=False) if rng.random() < 0.5}
+    rows = [(hash_of[w], c, value.get(w, 0.0)) for w, c in count.items()] + [(run_hash(*r), 0, v) for r, v in runs.items()]
+    h, c, v = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (np.uint64, np.int64, float), strict=True))
+    hot = np.flatnonzero(c > 40)
+    hot = hot[np.argsort(h[hot])]
+    shared = SimpleNamespace(value=(h[hot], c[hot].astype(float), v[hot], np.full(1 << (suffix_tree._BITS - 6), 2**64 - 1, np.uint64), 2, 0.1, 1e6))
+    monkeypatch.setattr(suffix_tree, "_HELD", 5000)
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array([None, *range(1, len(texts))], pa.int64()), "held_out": pa.array([None, *[True] * (len(texts) - 1)], pa.bool_()), "text": pa.array(texts, pa.string()), "row": pa.array(range(len(texts)), pa.int64())})
+    asked = [b for half in (docs.slice(0, 90), docs.slice(90)) for b in suffix_tree._score_docs(shared, 7)(iter(half.slice(i, 10) for i in range(0, len(half), 10)))]
+    assert len(asked) > 3 and sum(b.num_rows for b in asked) <= 8 * len(asked)
+    known = list(suffix_tree._pack_features(7)(iter([pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(v)], names=["h", "c", "value"])])))
+    every = pa.Table.from_batches([*asked, *known])
+    answers = pa.Table.from_batches([b for part in range(7) for b in suffix_tree._answered(iter(every.filter(pa.compute.equal(every["part"], part)).to_batches()))])
+    got = pa.Table.from_batches(list(suffix_tree._scored(0.1, 1e6)(iter(answers.to_batches())))).to_pylist()
+    got = {r["doc_id"] or 0: r for r in got}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        ws = (t or "").split()
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["held_out"]) == (len(ws) + 1, sum(w in count for w in ws), True if i else None)
+        assert math.isclose(got[i]["base"], sum(math.log10((count.get(w, 0) + 0.1) / 1e6) for w in ws), rel_tol=1e-9)
+        assert math.isclose(got[i]["gain"], sum(value.get(w, 0) for w in ws) + sum(runs.get(r, 0) for r in zip(ws, ws[1:], strict=False)), rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_chat_keeps_a_very_long_text(spark):
     long = chat_format.F.expr("repeat('x', 21000000)")
     rows = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant")], "conv_id long, turn long, role string")
