@@ -73,7 +73,7 @@ class Batch:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
         self.data, self.offsets, self.n_docs = data, offsets, len(offsets) - 1
-        inside = ~space[data]
+        inside = (data != 32) & (data - np.uint8(9) > 4) if space is SPACE else ~space[data]
         head, tail = inside.copy(), inside.copy()
         head[1:] &= ~inside[:-1]
         tail[:-1] &= ~inside[1:]
@@ -173,7 +173,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """Lower-cases A-Z only."""
-    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    return data | ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

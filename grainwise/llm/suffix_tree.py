@@ -19,15 +19,15 @@ add-0.1 unigram, which has a share for unknown tokens.  A state's probabilities
    run brings as a state, plus what its last token gains by an entry after the others.
 
 A task passes its counts on packed by parts of the runs, which other tasks add up; no row is made
-for a run that is seen less than ``entry`` times.  Counts, states and entries are distributed
-tables, joined by hashes of their runs.  The most
-frequent runs, ``frequent`` at most, go to the scoring tasks as a table of 24 bytes each; only
-rarer ones are joined.  A word that many documents have and no training document is left over
-as a frequent key of that outer join; Spark splits it, as each row brings its own sum.  Bit
-tables of a fixed size keep runs that no table has from being shuffled; they only ever let too
-much pass.
-
-Runs are told apart by 64-bit hashes in the joins.  Defined results: a null
+for a run that is seen less than ``entry`` times.  The 2**20 - 1 most frequent words go by number there,
+in runs of four tokens at most; all others go by hash.  Counts, states and entries are distributed
+tables, joined by hashes of their runs.  The most frequent runs, ``frequent`` at most, go to the
+scoring tasks as a table of 24 bytes each.  For rarer ones a chunk of documents asks the tables' parts,
+once for each hash that it has, so that no word is a frequent key; the answers come back to what the
+chunk has kept of its documents.  Bit tables of a fixed size keep runs that no table has from being
+shuffled; they only ever let too much pass.
+
+Runs are told apart by 64-bit hashes, in the joins and when counts are added up.  Defined results: a null
 text is the empty text, whose only token is its end; rows that share a doc_id are scored
 each; with no training documents every count is 0 and there is only the uniform root.
 """
@@ -69,9 +69,6 @@ def _batch(rows: pa.RecordBatch) -> Batch:
     return Batch(lower_ascii(data), offsets)
 
 
-_COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
-
-
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts the values, and where each run of equal ones begins in it."""
     order = np.argsort(values)
@@ -81,19 +78,13 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, count) of the distinct words of each step."""
-    for rows in steps(batches, limit=16 << 20):
-        h = _batch(rows).word_hash.view(np.int64)
-        order, at = _runs(h)
-        yield pa.RecordBatch.from_arrays([pa.array(h[order[at]]), pa.array(np.diff(np.append(at, len(h))))], schema=_COUNTS)
-
-
 def sequence(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     """The token hashes of all documents, an end before and after each, and the document of each."""
     n = batch.counts + 2
-    out = np.full(n.sum(), U64(END))
-    out[np.arange(len(batch.starts)) + 2 * batch.doc + 1] = batch.word_hash
+    out, is_word = np.full(n.sum(), U64(END)), np.ones(n.sum(), bool)
+    last = np.cumsum(n) - 1
+    is_word[last] = is_word[last - n + 1] = False
+    out[is_word] = batch.word_hash
     return out, np.repeat(np.arange(batch.n_docs), n)
 
 
@@ -211,10 +202,9 @@ def _packed(counts: tuple[np.ndarray, ...], parts: int, d: int = 0, whole: bool
     group, member, n = counts
     slice_of = U64(0) if whole else (member & U64(7) if d else member >> U64(61))
     part = (_part_of(mix(group) if d else group, parts) + slice_of * U64(0x9E3779B1)) % U64(parts)
-    if 0 < d < _CODED and parts <= 1 << 16:  # in order of group and member by now
-        order = np.argsort(part.astype(np.uint16), kind="stable")
-    elif d:
-        order = np.lexsort((member, group, part))
+    if d:
+        order = np.argsort(group) if d == _CODED else np.arange(len(group))  # of fewer tokens they are in order by now
+        order = order[np.argsort(part[order].astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")]
     else:
         order = np.argsort((part << U64(40)) | (group >> U64(24)))
     group, member, n, part = group[order], member[order], n[order], part[order]
@@ -244,6 +234,60 @@ def _unpacked(squeezed: memoryview) -> tuple[int, np.ndarray, np.ndarray, np.nda
     return d, np.repeat(group, sizes), member, _unplaned(raw, at, rows).astype(np.int64)
 
 
+_COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+
+
+def _by_part(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, from, to) of the parts in a sorted array."""
+    cuts = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+    return list(zip(part[cuts].tolist(), cuts.tolist(), np.append(cuts, len(part))[1:].tolist(), strict=True))
+
+
+def _count_words(parts: int):
+    """Counts of the distinct words of a task, packed by parts of their hashes."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, at = _runs(h)
+            held[:] = [(h[order[at]], np.add.reduceat(n[order], at) if len(at) else n)]
+            return held[0]
+
+        def passed() -> pa.RecordBatch:
+            h, n = merged()
+            held.clear()
+            made = [(part, _squeezed(b"".join((np.array([to - at], "<u8").tobytes(), _growing(h[at:to]), _planes(n[at:to]))))) for part, at, to in _by_part(_part_of(h, parts))]
+            return pa.RecordBatch.from_arrays([pa.array([part for part, _ in made], pa.int32()), pa.array([False] * len(made), pa.bool_()), pa.array([raw for _, raw in made], pa.binary())], schema=_PARTS_OF_COUNTS)
+
+        for rows in steps(batches):
+            h = _batch(rows).word_hash
+            held.append((h, np.ones(len(h), np.int64)))
+            if sum(len(h) for h, _ in held) > 2 * _HELD and len(merged()[0]) > _HELD:
+                yield passed()
+        if held:
+            yield passed()
+
+    return emit
+
+
+def _words_added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, count) of the words of a part."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for rows in batches:
+        for raw in rows.column("counts"):
+            raw = _unsqueezed(memoryview(raw.as_buffer()))
+            k = int(np.frombuffer(raw, "<u8", 1)[0])
+            held.append((np.cumsum(_unplaned(raw, 8, k, 8), dtype=np.uint64), _unplaned(raw, 8 + 8 * k, k).astype(np.int64)))
+    if held:
+        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, at = _runs(h)
+        h, n = h[order[at]].view(np.int64), np.add.reduceat(n[order], at)
+        for lo in range(0, len(h), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + (1 << 16)]), pa.array(n[lo : lo + (1 << 16)])], schema=_COUNTS)
+
+
 def _grams(shared, d: int, parts: int):
     """Counts of runs of d + 1 tokens, as (run without the last, without the first); from level 3 on also of contexts.
 
@@ -410,12 +454,6 @@ def _passed(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PASSED, strict=True)], schema=_PASSED)
 
 
-def _by_part(part: np.ndarray) -> list[tuple[int, int, int]]:
-    """(part, from, to) of the parts in a sorted array."""
-    cuts = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
-    return list(zip(part[cuts].tolist(), cuts.tolist(), np.append(cuts, len(part))[1:].tolist(), strict=True))
-
-
 def _score_docs(shared, parts: int):
     """Chunks of documents: their state, with what frequent runs give and where rarer words (how often) and runs (-1) stand, and the hashes they ask each part for, once each."""
 
@@ -611,8 +649,9 @@ def train_and_score(docs: DataFrame, held_out: Column, p: SuffixTree = SuffixTre
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     train = rows.filter(~F.col("held_out")).select("text")
-    words = written(train.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     n_rows, ends = rows.agg(F.count(F.lit(1)), F.count(F.when(~F.col("held_out"), 1))).first()
+    parts = max(8, n_rows // 3000)
+    words = written(train.mapInArrow(_count_words(parts), _PARTS_SQL).repartitionById(parts, F.col("part")).mapInArrow(_words_added_up, "h long, n long"))
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, v = totals["n"] + ends, totals["v"] + (ends > 0)
     v_total = n_train + p.base_add * (v + 1)
